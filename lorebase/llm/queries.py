@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import conversations, cooccurrence, mixing, near_duplicates, splitting, tokenizing
+from lorebase.llm import conversations, cooccurrence, mixing, near_duplicates, personal, splitting, tokenizing
 from lorebase.llm.common import table
 
 
+SURROGATE_KEY = "lorebase-demo-key"  # a deployment passes its own secret
+
+
+def _redacted(spark: SparkSession, folder: str, mode: str, with_text: bool) -> DataFrame:
+    rows = personal.records(*(table(spark, folder, t) for t in ("pages", "session_events", "issues", "notes")))
+    return personal.redact(rows, SURROGATE_KEY, mode, with_text)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.found(_redacted(spark, folder, "surrogate", False))
+
+
+def p1_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return _redacted(spark, folder, "surrogate", True)
+
+
+def p1_placeholders(spark: SparkSession, folder: str) -> DataFrame:
+    return _redacted(spark, folder, "placeholder", True).select("src", "field", "record_key", "text")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuild(table(spark, folder, "session_events")).select(F.col("channel").alias("session_id"), "pos", "event_id")
 
@@ -66,5 +86,5 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_channels, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_surrogates, p1_placeholders, p2_found, p2_channels, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares)}
 ORACLES: dict[str, str] = {}
