@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import conversations, cooccurrence, mixing, near_duplicates, personal, splitting, tokenizing
+from lorebase.llm import abuse, conversations, cooccurrence, mixing, near_duplicates, personal, splitting, tokenizing
 from lorebase.llm.common import table
 
 
@@ -86,5 +86,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_surrogates, p1_placeholders, p2_found, p2_channels, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.score(table(spark, folder, "documents")).where("flagged AND doc_id IS NOT NULL").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.score(table(spark, folder, "documents"))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(abuse.score(table(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_surrogates, p1_placeholders, p2_found, p2_channels, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
 ORACLES: dict[str, str] = {}
