@@ -170,27 +170,29 @@ def _keys(least: float, refine: bool = False):
     return run
 
 
-def _emit(keys: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of classes that share a key; ``most``: only keys of at most so many classes."""
-    counted = keys.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("k")))
-    near = counted.where(F.col("c").between(2, most) if most else F.col("c") > 1)
-    if most is None:  # agreeing on two bands: pairs that mostly are results; joined so that a large key can be split
-        a, b = near.alias("a"), near.alias("b")
-        return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    groups = near.groupBy("k").agg(F.array_sort(F.collect_list("rep")).alias("g"))
+def _shared(keys: DataFrame, label: str) -> DataFrame:
+    """The keys that several classes have, each row with the number of those classes; most keys are of one class."""
+    return stage(keys.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("c > 1"), label)
+
+
+def _pairs_in(keys: DataFrame) -> DataFrame:
+    """Pairs of classes of keys that at most HOT classes share."""
+    groups = keys.groupBy("k").agg(F.array_sort(F.collect_list("rep")).alias("g"))
     later = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return groups.select(F.explode(later).alias("p")).select("p.a", "p.b")
 
 
 def class_candidates(classes: DataFrame, least: float) -> DataFrame:
     """Distinct candidate pairs ``a < b`` of classes (``rep, n, regs, few``)."""
-    keys = classes.mapInPandas(_keys(least), "k long, rep string").repartition("k")
-    pairs = _emit(keys, HOT)
-    hot = keys.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("k"))).where(F.col("c") > HOT).select("rep", F.col("k").alias("hot"))
-    hot = stage(hot, "hot-keys")
+    shared = _shared(classes.mapInPandas(_keys(least), "k long, rep string"), "shared-keys")
+    pairs = _pairs_in(shared.where(F.col("c") <= HOT))
+    hot = shared.where(F.col("c") > HOT).select("rep", F.col("k").alias("hot"))
     if not hot.isEmpty():
-        finer = hot.join(classes, "rep").mapInPandas(_keys(least, True), "k long, rep string").distinct()
-        pairs = pairs.unionByName(_emit(finer, None))
+        finer = _shared(hot.join(classes, "rep").mapInPandas(_keys(least, True), "k long, rep string").distinct(), "finer-keys")
+        a, b = finer.where(F.col("c") > HOT).alias("a"), finer.where(F.col("c") > HOT).alias("b")
+        # classes that agree on two keys mostly are results; a join, so that a large key can be split
+        large = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+        pairs = pairs.unionByName(_pairs_in(finer.where(F.col("c") <= HOT))).unionByName(large)
     return pairs.distinct()
 
 
