@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import canonical_tag, current_pages, page_tags
+from lorebase.plans.staging import stage
 
 
 def tag_records(pages: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -34,15 +35,15 @@ def together(records: DataFrame, least_count: int = 3, least_share: float = 0.00
     ``records``: src, key, items, one row per record. A record counts in ``n`` also without items; an item counts once
     per record; ``item_a < item_b`` in byte order. Null items and blanks are no item. No records, no rows.
     """
-    base = records.select("src", cleaned(F.col("items")).alias("items"))
+    base = stage(records.select("src", cleaned(F.col("items")).alias("items")), "baskets")
     totals = base.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     singles = base.select("src", F.explode("items").alias("item")).groupBy("src", "item").agg(F.count(F.lit(1)).alias("n_item"))
     share = F.lit(str(least_share)).cast("decimal(12,8)")
     enough = (F.col("n_item") >= least_count) & (F.col("n_item") >= share * F.col("n"))
-    frequent = singles.join(totals, "src").where(enough)
+    frequent = singles.join(F.broadcast(totals), "src").where(enough)  # a row per source
     # sizes are bounded by the thresholds, not by the corpus: one row per source, each with its frequent items
     kept = frequent.groupBy("src").agg(F.collect_list("item").alias("_frequent"))
-    slim = base.join(kept, "src").select("src", F.array_intersect("items", "_frequent").alias("items")).where(F.size("items") > 1)
+    slim = base.join(F.broadcast(kept), "src").select("src", F.array_intersect("items", "_frequent").alias("items")).where(F.size("items") > 1)
     later = F.flatten(F.transform("items", lambda a, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda b: F.struct(a.alias("item_a"), b.alias("item_b")))))
     pairs = slim.select("src", F.explode(later).alias("p")).groupBy("src", "p.item_a", "p.item_b").agg(F.count(F.lit(1)).alias("n_ab"))
     a = frequent.select("src", F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), "n")
