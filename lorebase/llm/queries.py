@@ -99,4 +99,32 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_surrogates, p1_placeholders, p2_found, p2_channels, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
-ORACLES: dict[str, str] = {}
+_DAY = """coalesce(try_cast(regexp_extract(updated, '^\\s*(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 1) AS INT) * 10000 + try_cast(regexp_extract(updated, '^\\s*(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 2) AS INT) * 100
+    + try_cast(regexp_extract(updated, '^\\s*(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 3) AS INT), 0)"""
+_CURRENT = f"""cur AS (SELECT path, tags, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY {_DAY} DESC, coalesce(updated, '') DESC, tags DESC NULLS LAST, content DESC NULLS LAST) AS rn FROM pages WHERE path IS NOT NULL) WHERE rn = 1)"""
+_TAG = r"translate(regexp_replace(regexp_replace(regexp_replace(lower(t), '^[\s,]+|[\s,]+$', '', 'g'), '^#+', ''), '^[\s,]+|[\s,]+$', '', 'g'), '_', '-')"
+_PAIRS = f"""WITH {_CURRENT},
+rec AS (SELECT 'pages' AS src, path AS key, regexp_split_to_array(coalesce(tags, ''), '[\\s,;]+') AS ts FROM cur
+    UNION ALL SELECT 'nodes', id, flatten(list(coalesce(data.tags, []))) FROM nodes WHERE id IS NOT NULL GROUP BY id),
+n AS (SELECT src, count(*) AS n FROM rec GROUP BY src),
+item AS (SELECT DISTINCT src, key, {_TAG} AS tag FROM (SELECT src, key, unnest(ts) AS t FROM rec) WHERE t IS NOT NULL AND {_TAG} <> ''),
+one AS (SELECT src, tag, count(*) AS c FROM item GROUP BY 1, 2),
+two AS (SELECT a.src, a.tag AS tag_a, b.tag AS tag_b, count(*) AS n_ab FROM item a JOIN item b ON a.src = b.src AND a.key = b.key AND a.tag < b.tag GROUP BY 1, 2, 3)
+SELECT two.src, tag_a, tag_b FROM two JOIN n ON n.src = two.src JOIN one a ON a.src = two.src AND a.tag = tag_a JOIN one b ON b.src = two.src AND b.tag = tag_b
+WHERE n_ab >= 3 AND n_ab * 1000 >= 2 * n AND n_ab * n >= 3 * a.c * b.c"""
+
+_TALK = r"""WITH ev AS (SELECT DISTINCT ON (event_id) event_id, session_id, content, CASE WHEN lower(trim(type)) = 'message' THEN lower(trim(role)) ELSE lower(trim(type)) END AS who,
+    CASE WHEN regexp_matches(trim(timestamp), '^\d{11,14}$') THEN trim(timestamp)::BIGINT * 1000 ELSE epoch_us(try_cast(timestamp AS TIMESTAMPTZ)) END AS ats FROM session_events WHERE session_id IS NOT NULL ORDER BY event_id),
+ok AS (SELECT *, coalesce(content, '') AS c, starts_with(coalesce(content, ''), '[{') AND NOT json_valid(content) AS broken FROM ev WHERE who IN ('user', 'assistant')),
+txt AS (SELECT *, regexp_replace(CASE WHEN starts_with(c, '[{') AND NOT broken THEN coalesce(array_to_string(list_transform(list_filter(from_json(c, '["JSON"]'), lambda b: b->>'type' IN ('text', 'input_text', 'output_text')), lambda b: coalesce(b->>'text', '')), chr(10)), '') WHEN broken THEN '' ELSE c END, '^\s+|\s+$', '', 'g') AS shown FROM ok),
+vis AS (SELECT *, regexp_extract(shown, '^<([A-Za-z_][\w.:-]*)[^<>]*>', 1) AS tag FROM txt),
+msg AS (SELECT session_id, who, ats, c, min(event_id) AS event_id FROM vis WHERE shown <> '' AND NOT (tag <> '' AND ends_with(shown, '</' || tag || '>') AND strpos(shown, '</' || tag || '>') + length(tag) + 2 = length(shown)) GROUP BY 1, 2, 3, 4),
+bad AS (SELECT session_id FROM ok WHERE broken UNION SELECT session_id FROM msg WHERE ats IS NULL),
+pos AS (SELECT *, row_number() OVER w AS pos, lead(who) OVER w AS nxt FROM msg WHERE session_id NOT IN (SELECT session_id FROM bad) WINDOW w AS (PARTITION BY session_id ORDER BY ats, event_id)),
+keep AS (SELECT session_id FROM pos GROUP BY 1 HAVING bool_and(CASE WHEN who = 'user' THEN coalesce(nxt = 'assistant', false) ELSE true END) AND min_by(who, pos) = 'user')
+SELECT session_id, pos, event_id FROM pos WHERE session_id IN (SELECT session_id FROM keep)"""
+
+_OVER = f"""WITH {_CURRENT} SELECT 'pages' AS src, path AS item_key FROM cur WHERE length(content) > 6000
+UNION ALL SELECT DISTINCT 'chunks', chunk_id::VARCHAR FROM chunks WHERE abs(end_page - start_page) + 1 > 20 AND chunk_id IS NOT NULL"""
+
+ORACLES = {"p2_found": _TALK, "p3_found": _PAIRS, "p5_found": _OVER}
