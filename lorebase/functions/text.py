@@ -131,13 +131,13 @@ def canonical_id(c: Column) -> Column:
 
 def relevance_of(body: Column) -> Column:
     """``Relevance: N/5`` within 1..5, 3 without one."""
-    n = F.regexp_extract(body, r"[Rr]elevance[:*\s]+(\d)\s*/\s*5", 1).try_cast("int")
+    n = F.regexp_extract(body, r"Relevance:\s*(\d)/5", 1).try_cast("int")
     return F.coalesce(F.least(F.greatest(n, F.lit(1)), F.lit(5)), F.lit(3))
 
 
 def inline_tags(body: Column) -> Column:
     """Inline ``#tags`` in lower case, each once, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"(?:^|\s)#([A-Za-z][\w-]*)"), 1), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"#([a-zA-Z][a-zA-Z0-9_-]*)"), 1), F.lower))
 
 
 def fold_compatible(texts):
