@@ -132,7 +132,7 @@ def canonical_id(c: Column) -> Column:
 def relevance_of(body: Column) -> Column:
     """``Relevance: N/5`` within 1..5, 3 without one."""
     n = F.regexp_extract(body, r"Relevance:\s*(\d)/5", 1).try_cast("int")
-    return F.coalesce(F.least(F.greatest(n, F.lit(1)), F.lit(5)), F.lit(3))
+    return F.when(n.isNull(), 3).otherwise(F.least(F.greatest(n, F.lit(1)), F.lit(5)))
 
 
 def inline_tags(body: Column) -> Column:

@@ -131,34 +131,28 @@ def mapped(rows: DataFrame, text: str, make, out: str = "reply") -> DataFrame:
 
     ``make`` returns a function from a list of texts to a list of texts; a model is loaded in it, a stub in tests.
     """
-    from collections.abc import Iterator
-
     import pandas as pd
     from pyspark.sql import types as T
 
-    @F.pandas_udf(T.StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         model = make()
         for b in batches:
             yield pd.Series(model(b.tolist()), dtype=object)
 
-    return rows.withColumn(out, run(text))
+    return rows.withColumn(out, F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR_ITER)(text))
 
 
 def embedded(rows: DataFrame, text: str, make, out: str = "vector") -> DataFrame:
     """As ``mapped``, to vectors of length 1 (a zero vector stays)."""
-    from collections.abc import Iterator
-
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         model = make()
         for b in batches:
             v = np.asarray(model(b.tolist()), np.float32).reshape(len(b), -1)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             yield pd.Series(list(v / np.where(norm == 0, 1, norm)))
 
-    return rows.withColumn(out, run(text))
+    return rows.withColumn(out, F.pandas_udf(run, T.ArrayType(T.FloatType()), F.PandasUDFType.SCALAR_ITER)(text))

@@ -58,9 +58,9 @@ def agreement(ratings: DataFrame, item: str, rater: str, value: str) -> DataFram
     cells = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     left, right = cells.groupBy(F.col("x").alias("v")).agg(F.sum("n").alias("l")), cells.groupBy(F.col("y").alias("v")).agg(F.sum("n").alias("r"))
     chance = left.join(right, "v").agg(F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("both"))
-    seen = cells.agg(F.sum("n").alias("pairs"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("equal"))
+    seen = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.coalesce(F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)), F.lit(0)).alias("equal"))
     out = seen.join(F.broadcast(chance), F.lit(True))
-    po, pe = F.col("equal") / F.col("pairs"), F.col("both") / (F.col("pairs") * F.col("pairs"))
+    po, pe = F.try_divide("equal", "pairs"), F.try_divide("both", F.col("pairs") * F.col("pairs"))
     return out.select("pairs", po.alias("agreement"), F.try_divide(po - pe, 1 - pe).alias("kappa"))
 
 

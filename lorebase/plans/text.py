@@ -76,7 +76,7 @@ def frontmatter_note(spark, folder):
     return p.select("path", M.note_fields(c)["updated"].alias("updated"), F.size(M.note_list(M.note_fields(c)["tags"])).cast("long").alias("n_tags")).distinct()
 
 
-@query(r"""SELECT note_id, lower(regexp_extract_all(body, '#([a-zA-Z][a-zA-Z0-9_-]*)', 1)[1]) AS first_tag, coalesce(least(greatest(try_cast(regexp_extract(body, 'Relevance:\s*(\d)/5', 1) AS INT), 1), 5), 3) AS relevance FROM (SELECT DISTINCT note_id, body FROM notes WHERE body IS NOT NULL)""")
+@query(r"""SELECT note_id, lower(regexp_extract_all(body, '#([a-zA-Z][a-zA-Z0-9_-]*)', 1)[1]) AS first_tag, CASE WHEN regexp_matches(body, 'Relevance:\s*(\d)/5') THEN least(greatest(try_cast(regexp_extract(body, 'Relevance:\s*(\d)/5', 1) AS INT), 1), 5) ELSE 3 END AS relevance FROM (SELECT DISTINCT note_id, body FROM notes WHERE body IS NOT NULL)""")
 def note_relevance(spark, folder):
     n = table(spark, folder, "notes").where("body IS NOT NULL").select("note_id", "body").distinct()
     return n.select("note_id", F.try_element_at(X.inline_tags(F.col("body")), F.lit(1)).alias("first_tag"), X.relevance_of(F.col("body")).alias("relevance"))

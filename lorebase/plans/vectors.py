@@ -23,7 +23,7 @@ def rrf_fusion(spark, folder):
     return V.fused([a, b], "doc_id").select("doc_id", F.col("score").cast("double").alias("score"))
 
 
-@query("WITH r AS (SELECT doc_id, rater, quality FROM labels WHERE quality IS NOT NULL), p AS (SELECT a.quality AS x, b.quality AS y FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.rater < b.rater), t AS (SELECT count(*) AS pairs, count(*) FILTER (x = y) AS eq FROM p), c AS (SELECT sum(l.n * r.n) AS pe FROM (SELECT x AS v, count(*) AS n FROM p GROUP BY 1) l JOIN (SELECT y AS v, count(*) AS n FROM p GROUP BY 1) r USING (v)) SELECT pairs, round(eq / pairs::DOUBLE, 9) AS agreement, round((eq / pairs::DOUBLE - pe / (pairs * pairs)::DOUBLE) / (1 - pe / (pairs * pairs)::DOUBLE), 9) AS kappa FROM t, c")
+@query("WITH r AS (SELECT doc_id, rater, quality FROM labels WHERE quality IS NOT NULL), p AS (SELECT a.quality AS x, b.quality AS y FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.rater < b.rater), t AS (SELECT count(*) AS pairs, count(*) FILTER (x = y) AS eq FROM p), c AS (SELECT sum(l.n * r.n) AS pe FROM (SELECT x AS v, count(*) AS n FROM p GROUP BY 1) l JOIN (SELECT y AS v, count(*) AS n FROM p GROUP BY 1) r USING (v)) SELECT pairs, round(eq / nullif(pairs, 0)::DOUBLE, 9) AS agreement, round((eq / nullif(pairs, 0)::DOUBLE - pe / nullif(pairs * pairs, 0)::DOUBLE) / (1 - pe / nullif(pairs * pairs, 0)::DOUBLE), 9) AS kappa FROM t, c")
 def rater_agreement(spark, folder):
     return V.agreement(table(spark, folder, "labels"), "doc_id", "rater", "quality").select("pairs", F.round("agreement", 9).alias("agreement"), F.round("kappa", 9).alias("kappa"))
 
