@@ -30,6 +30,10 @@ MODEL = os.path.join(os.path.dirname(__file__), "abuse_model.npz")
 PAD = "\x00"
 
 _LETTERS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "i"})
+# letters among which others stand for letters; a number before or behind letters is none of these
+_SUBSTITUTED = re.compile(r"(?=(?:.*[^\W\d_]){2})(?:[^\W_]|[@$!€|])+")
+_NUMBERED = re.compile(r"[^\W\d_]+\d+|\d{2,}[^\W\d_]+|\d[^\W\d_]{1,3}")
+_DIGITS = re.compile(r"\d+")
 _EDGE = " \t.,;:!?…\"'`’‘“”«»()[]{}<>|_~#/\\-–—=+&^%"
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .]){3,}[^\W\d_](?!\w)")
 _STRETCHED = re.compile(r"(.)\1{2,}")
@@ -43,8 +47,7 @@ def canonical(word: str) -> str:
     if not any(c.isalpha() or c == "*" for c in bare):
         return "0" if any(c.isdigit() for c in bare) else bare[:4]
     if any(c.isdigit() or c in "@$!€|" for c in bare):
-        letters = sum(c.isalpha() for c in bare)
-        bare = bare.translate(_LETTERS) if letters * 2 >= len(bare) or "." not in bare and letters else bare
+        bare = bare.translate(_LETTERS) if _SUBSTITUTED.fullmatch(bare) and not _NUMBERED.fullmatch(bare) else _DIGITS.sub("0", bare)
     if "." in bare or "-" in bare or "_" in bare:
         parts = re.split(r"[._-]", bare)
         if len(parts) > 2 and max(map(len, parts)) == 1:

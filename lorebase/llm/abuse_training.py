@@ -24,6 +24,7 @@ MOST = 20_000
 SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
 BUCKETS = 1 << 18
 SURE = 2.0  # least linear score of a sentence by which it explains a rating
+MOST_USUAL = 2.0  # a logit above this is abusive in any case (raters overlook abuse, which raises the quantiles)
 USUAL = (0.9985, 0.9995)  # by round, share of the sentences of documents rated 0 that are taken to be harmless
 
 
@@ -182,7 +183,7 @@ def windows_of(sentences: list[list[str]], scores: np.ndarray, label: int, rng:
     for i in range(len(sizes)):
         if scores[i] > 0 and label:
             hot[at[i] : at[i + 1]] = 1
-        elif scores[i] > (-1 if label else 0):
+        elif scores[i] > (-3 if label else 0):
             vague[at[i] : at[i + 1]] = 1
     out, labels = [], []
     start = -int(rng.integers(0, WINDOW // 2))
@@ -235,19 +236,20 @@ def fit(docs: pd.DataFrame, epochs: int = 8, seed: int = 0, say=print) -> dict[s
         for d in sentences:
             rows = [network.ids(s[:WINDOW]) for s in d]
             logits.append(network.logits(np.array([np.pad(r, (0, WINDOW - len(r))) for r in rows])) if rows else np.zeros(0))
-        usual = float(np.quantile(np.concatenate([s for s, label in zip(logits, y) if not label]), share))
+        usual = float(min(MOST_USUAL, np.quantile(np.concatenate([s for s, label in zip(logits, y) if not label]), share)))
         say(f"sentences of documents rated 0 are below {usual:.2f}")
         scores = [s - usual for s in logits]
     return _train(sentences, scores, y, epochs, seed + 2, say)
 
 
 def best_threshold(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    best = (0.0, 0.5)
-    for t in np.linspace(0.05, 0.99, 95):
+    """(the middle of the thresholds of greatest F1, that F1)."""
+    steps, found = np.linspace(0.05, 0.95, 91), []
+    for t in steps:
         hit = scores >= t
-        both = (hit & (y == 1)).sum()
-        best = max(best, (2 * both / max(1, hit.sum() + y.sum()), float(t)))
-    return best[1], best[0]
+        found.append(2 * (hit & (y == 1)).sum() / max(1, hit.sum() + y.sum()))
+    best = np.flatnonzero(np.array(found) >= max(found) - 5e-4)
+    return float(np.median(steps[best])), float(max(found))
 
 
 def main() -> None:

@@ -69,11 +69,11 @@ _PHONES = [
     r"\+[1-9][\d \t()./\u00a0-]{7,20}\d",
     r"00[1-9]\d[ \t./-][\d \t()./-]{6,16}\d",
     r"(?:1[ .-])?\(?[2-9]\d\d\)?[ .-]{1,2}\d{3}[ .-]\d{4}",
-    r"\(?0[1-9]\d{1,4}\)?(?:[ \t]?[ ./-][ \t]?\d{2,8}){1,4}",
+    r"\(?0[1-9]\d{0,4}\)?(?:[ \t]?[ ./-][ \t]?\d{2,8}){1,4}",
 ]
 PHONE = re.compile(rf"(?:{'|'.join(_PHONES)})(?:[ \t]*(?:ext\.?|x|Durchwahl|poste)[ \t]*\d{{1,5}})?$", re.I)
 PHONE_CUE = re.compile(r"(?:phone|tel|tél|mobile?|cell|fax|whatsapp|call|handy|telefon|téléphone|teléfono|móvil|portable|notruf|callback|reach (?:me|her|him|us) (?:on|at))[^\d\n]{0,18}$", re.I)
-_BARE_DATE = re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}")
+_BARE_DATE = re.compile(r"(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}(?!\d)|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d(?!\d)")
 
 ID_WORDS = ("ssn", "social security", "social", "tax id", "tax number", "taxpayer", "tin", "ni number", "nino", "national insurance", "passport", "passeport", "pasaporte", "reisepass", "national id", "id card", "identity card", "ausweisnummer", "personalausweis", "ausweis", "personal number", "personnummer", "licence", "license", "permis de conduire", "führerschein", "permiso de conducir", "dni", "nif", "nie", "cpr", "nir", "sécurité sociale", "seguridad social", "sozialversicherung", "rentenversicherung", "steuer-id", "steuernummer", "steuer-identifikationsnummer", "carte d'identité", "codice fiscale", "bsn", "curp", "cpf", "pesel", "aadhaar")
 ID_AFTER = re.compile(
