@@ -24,7 +24,7 @@ MOST = 20_000
 SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
 BUCKETS = 1 << 18
 SURE = 2.0  # least linear score of a sentence by which it explains a rating
-MOST_USUAL = 2.0  # a logit above this is abusive in any case (raters overlook abuse, which raises the quantiles)
+BOUNDS = (-2.0, 2.0)  # of the logit above which a sentence of an abusive document is abusive (raters overlook abuse, which raises the quantiles)
 USUAL = (0.9985, 0.9995)  # by round, share of the sentences of documents rated 0 that are taken to be harmless
 
 
@@ -200,9 +200,9 @@ def windows_of(sentences: list[list[str]], scores: np.ndarray, label: int, rng:
     return out, labels
 
 
-def _train(sentences, scores, y, epochs: int, seed: int, say) -> dict[str, np.ndarray]:
+def _train(sentences, scores, y, epochs: int, seed: int, say, size: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    trainer, size = Trainer(seed), 256
+    trainer = Trainer(seed)
     for epoch in range(epochs):
         windows, labels = [], []
         for d, s, label in zip(sentences, scores, y):
@@ -223,23 +223,23 @@ def _train(sentences, scores, y, epochs: int, seed: int, say) -> dict[str, np.nd
     return trainer.p
 
 
-def fit(docs: pd.DataFrame, epochs: int = 8, seed: int = 0, say=print) -> dict[str, np.ndarray]:
+def fit(docs: pd.DataFrame, epochs: int = 8, seed: int = 0, say=print, size: int = 256) -> dict[str, np.ndarray]:
     """Parameters of the network. Twice, a network trained on the sentences found so far names the abusive sentences again: those
     of documents rated 1 that score above nearly all sentences of documents rated 0. So raters' errors are not learnt."""
     sentences = [[words for s in SPLIT.split(t) if (words := words_of(s))] for t in docs.text]
     y = docs.abusive.to_numpy()
     scores = [s - SURE if len(s) else s for s in sentence_scores(sentences, y)]
     for turn, share in enumerate(USUAL):
-        network = Network(_train(sentences, scores, y, max(2, epochs - 3), seed + turn, say))
+        network = Network(_train(sentences, scores, y, max(2, epochs - 3), seed + turn, say, size))
         network.learn({w for d in sentences for s in d for w in s[:WINDOW]})
         logits = []
         for d in sentences:
             rows = [network.ids(s[:WINDOW]) for s in d]
             logits.append(network.logits(np.array([np.pad(r, (0, WINDOW - len(r))) for r in rows])) if rows else np.zeros(0))
-        usual = float(min(MOST_USUAL, np.quantile(np.concatenate([s for s, label in zip(logits, y) if not label]), share)))
+        usual = float(np.clip(np.quantile(np.concatenate([s for s, label in zip(logits, y) if not label]), share), *BOUNDS))
         say(f"sentences of documents rated 0 are below {usual:.2f}")
         scores = [s - usual for s in logits]
-    return _train(sentences, scores, y, epochs, seed + 2, say)
+    return _train(sentences, scores, y, epochs, seed + 2, say, size)
 
 
 def best_threshold(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:

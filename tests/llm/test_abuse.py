@@ -49,13 +49,14 @@ def test_scores_do_not_depend_on_batches(network):
 
 def test_training_learns_and_gradients_are_right():
     rng = np.random.default_rng(0)
-    words = [f"w{i}" for i in range(60)]
+    words = [a + b for a in "bdfgklm" for b in ("an", "el", "or", "ut", "is", "ey")]
     docs = [" ".join(rng.choice(words, 30)) + ". " for _ in range(600)]
     docs = [d + ("you vile toad." if i % 4 == 0 else "the vile test.") + " " + d for i, d in enumerate(docs)]
-    p = T.fit(pd.DataFrame({"text": docs, "abusive": [int(i % 4 == 0) for i in range(600)]}), epochs=10, say=lambda *_: None)
+    p = T.fit(pd.DataFrame({"text": docs, "abusive": [int(i % 4 == 0) for i in range(600)]}), epochs=6, say=lambda *_: None, size=32)
     net = A.Network(p)
-    good, bad = net.score(["w1 w2 the vile test."])[0], net.score(["w1 w2 you vile toad."])[0]
-    assert bad > 0.7 > 0.3 > good
+    fresh = [" ".join(rng.choice(words, 20)) + ". " + s + " " + " ".join(rng.choice(words, 20)) for s in ("you vile toad.", "the vile test.") for _ in range(20)]
+    scores = np.array(net.score(fresh))
+    assert scores[:20].min() > scores[20:].max()
     trainer = T.Trainer(1)
     windows, y = [["a", "b", "c"], ["d", "a"]], np.array([1.0, 0.0], np.float32)
     before = {k: v.astype(np.float64) for k, v in trainer.p.items()}
