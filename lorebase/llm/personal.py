@@ -72,7 +72,7 @@ _PHONES = [
     r"\(?0[1-9]\d{0,4}\)?(?:[ \t]?[ ./-][ \t]?\d{2,8}){1,4}",
 ]
 PHONE = re.compile(rf"(?:{'|'.join(_PHONES)})(?:[ \t]*(?:ext\.?|x|Durchwahl|poste)[ \t]*\d{{1,5}})?$", re.I)
-PHONE_CUE = re.compile(r"(?:phone|tel|tél|mobile?|cell|fax|whatsapp|call|handy|telefon|téléphone|teléfono|móvil|portable|notruf|callback|reach (?:me|her|him|us) (?:on|at))[^\d\n]{0,18}$", re.I)
+PHONE_CUE = re.compile(r"\b(?:phone|tel\.?|tél\.?|mobile?|cell|fax|whatsapp|call|handy|telefon|téléphone|teléfono|móvil|portable|notruf|callback|reach (?:me|her|him|us) (?:on|at))(?![^\W\d_])[^\d\n.!?]{0,18}$", re.I)
 _BARE_DATE = re.compile(r"(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}(?!\d)|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d(?!\d)")
 
 ID_WORDS = ("ssn", "social security", "social", "tax id", "tax number", "taxpayer", "tin", "ni number", "nino", "national insurance", "passport", "passeport", "pasaporte", "reisepass", "national id", "id card", "identity card", "ausweisnummer", "personalausweis", "ausweis", "personal number", "personnummer", "licence", "license", "permis de conduire", "führerschein", "permiso de conducir", "dni", "nif", "nie", "cpr", "nir", "sécurité sociale", "seguridad social", "sozialversicherung", "rentenversicherung", "steuer-id", "steuernummer", "steuer-identifikationsnummer", "carte d'identité", "codice fiscale", "bsn", "curp", "cpf", "pesel", "aadhaar")
@@ -86,7 +86,7 @@ _STREET = r"(?:street|road|lane|avenue|ave|drive|boulevard|blvd|rd|court|crescen
 ADDRESSES = {
     "en": re.compile(rf"(?<![\w.-])(?:(?:flat|suite|apt|apartment|unit)\.?[ \t]*\w{{1,5}},?[ \t]+)?\d{{1,5}}[a-z]?[ \t]+(?:[NSEW]\.?[ \t]+)?(?P<n>{_NAMED}(?:[ \t]{_NAMED})?)[ \t]+{_STREET}\b\.?(?:,[ \t]*(?:apt|apartment|unit)\.?[ \t]*\w{{1,5}})?", re.I),
     "fr": re.compile(rf"(?<![\w.-])\d{{1,5}}(?:[ \t]*(?:bis|ter|quater))?,?[ \t]+(?P<n>(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours)[ \t]+(?:(?:des?|du|de la|de l['’]|d['’]|la|le|les)[ \t]*)*(?-i:[A-ZÀ-Þ]){_NAMED})", re.I),
-    "es": re.compile(rf"\b(?P<n>(?:calle|avenida|avda\.?|plaza|paseo|camino|carrer|c/)[ \t]*(?:(?:de|del|de la|las|los)[ \t]+)*{_NAMED}(?:[ \t]{_NAMED})?),?[ \t]*(?:n[º°.]?[ \t]*)?\d{{1,5}}\b(?:,[ \t]*\d{{1,2}}[ºª°][ \t]*\w)?", re.I),
+    "es": re.compile(rf"\b(?P<n>(?:calle|avenida|avda\.?|plaza|paseo|camino|carrer|c/(?=[ \t]))[ \t]*(?:(?:de|del|de la|las|los)[ \t]+)*{_NAMED}(?:[ \t]{_NAMED})?),?[ \t]*(?:n[º°.]?[ \t]*)?\d{{1,5}}\b(?:,[ \t]*\d{{1,2}}[ºª°][ \t]*\w)?", re.I),
     "de": re.compile(rf"\b(?P<n>{_NAMED}(?:[ \t]?str\.|stra(?:ß|ss)e|[ \t]stra(?:ß|ss)e|weg|platz|allee|gasse|ufer|damm))[ \t]+\d{{1,4}}(?:[ \t]?[a-z](?![a-z]))?\b", re.I),
     "box": re.compile(r"\b(?P<n>p\.?[ \t]?o\.?[ \t]?box|postfach|apartado(?:[ \t]de[ \t]correos)?|bo[iî]te postale|case postale|b\.?p\.?)[ \t]*(?:n[º°.]?[ \t]*)?\d{1,6}\b", re.I),
 }
@@ -175,7 +175,8 @@ class Detector:
                 continue
             m = ID_AFTER.match(text, end)
             if m and sum(c.isdigit() for c in m.group("id")) >= 6:
-                yield m.start("id"), m.end("id"), "id_number"
+                lone = re.fullmatch(r"[\d .-]+([ -][A-Za-z])", m.group("id")) if " " in m.group("id") else None  # the next sentence's first letter
+                yield m.start("id"), m.end("id") - (len(lone.group(1)) if lone else 0), "id_number"
         if len(text) > 8:
             for m in ID_SHAPES.finditer(text):
                 yield m.start(), m.end(), "id_number"
