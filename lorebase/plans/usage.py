@@ -17,7 +17,7 @@ call AS (SELECT session_id, event_id, coalesce(b->>'name', 'unknown') AS name, c
 def events(spark, folder):
     e = table(spark, folder, "session_events").where("session_id IS NOT NULL").dropDuplicates(["event_id"])
     speaker = F.when(F.lower("type") == "message", F.lower("role")).when(F.lower("type").isin("user", "assistant"), F.lower("type"))
-    at = F.when(F.col("timestamp").rlike(r"^\d{13}$"), F.col("timestamp").try_cast("bigint") * 1000).when(F.col("timestamp").rlike(r"^\d{4}-"), F.unix_micros(F.col("timestamp").try_cast("timestamp")))
+    at = F.when(F.col("timestamp").rlike(r"^\d{13}$"), F.col("timestamp").try_cast("bigint") * 1000).when(F.col("timestamp").rlike(r"^\d{4}-"), F.unix_micros(F.when(F.col("timestamp").rlike(r"([Zz]|[+-]\d{2}:\d{2})$"), F.col("timestamp")).otherwise(F.concat("timestamp", F.lit("Z"))).try_cast("timestamp")))
     return e.select("event_id", "session_id", "type", "cwd", "model", "content", "usage", speaker.alias("speaker"), at.alias("at"))
 
 
