@@ -25,7 +25,7 @@ def instant(stamp: Column) -> Column:
     """
     bare = F.trim(stamp)
     iso = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)?|:\d{2}) ?([+-]\d{2})$", "$1$2:00")
-    whole = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(bare, F.lit("T00:00:00Z"))).otherwise(iso)
+    whole = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(bare, F.lit("T00:00:00Z"))).when(iso.rlike(r"([Zz]|[+-]\d{2}:\d{2})$"), iso).otherwise(F.concat(iso, F.lit("Z")))
     millis = F.when(bare.rlike(r"^\d{11,14}$"), bare.try_cast("bigint") * 1000)
     return F.coalesce(millis, F.when(bare.rlike(ISO), F.unix_micros(whole.try_cast("timestamp"))))
 
@@ -40,7 +40,7 @@ def parsed_events(events: DataFrame, channel: str) -> DataFrame:
     """channel, event_id, speaker, at, mark (digest of the content), visible, broken: one row per event_id."""
     content = F.coalesce(F.col("content"), F.lit(""))
     said = events.select(F.col(channel).cast("string").alias("channel"), F.col("event_id"), speaker(F.col("type"), F.col("role")).alias("speaker"), instant(F.col("timestamp")).alias("at"), content.alias("content"))
-    said = said.where(F.col("channel").isNotNull() & F.col("speaker").isNotNull())
+    said = said.where(F.col("channel").isNotNull() & F.col("speaker").isNotNull() & F.col("event_id").isNotNull())
     array = F.col("content").startswith("[{")
     # a JSON value that ends before the text does is no array of blocks either
     sound = F.try_parse_json(F.col("content")).isNotNull() & F.rtrim(F.col("content")).endswith("]")
@@ -76,7 +76,8 @@ def rebuild(events: DataFrame, channel: str = "session_id", split: bool = False,
     calibrated gap. Dropped: conversations without a message, not begun by the user, with a user message that no
     assistant message follows directly, with a damaged block array, or with a message of unknown time. Rows without a
     channel belong to none; repeated deliveries count once; equal messages (speaker, instant, content) are the one of
-    the smallest event_id; equal instants are ordered by event_id. Null content is blank. An empty table gives no rows.
+    the smallest event_id; equal instants are ordered by event_id. Null content is blank; rows without an event_id
+    are left out. An empty table gives no rows.
     """
     parsed = parsed_events(events, channel).where("visible OR broken")
     bad = F.col("broken") | F.col("at").isNull()

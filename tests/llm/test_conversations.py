@@ -30,6 +30,7 @@ def test_order_offsets_and_equal_instants(spark):
         [(1, "s", "user", "2026-01-01T00:00:00Z", "a"), (2, "s", "assistant", "2026-01-01T00:00:01Z", "b"), (3, "s", "assistant", "2026-01-01T00:00:02Z", '[{"type": "te')],
         [(1, "s", "user", "2026-01-01T00:00:00Z", None), (2, "s", "assistant", "2026-01-01T00:00:01Z", "  ")],
         [(1, None, "user", "2026-01-01T00:00:00Z", "a"), (2, None, "assistant", "2026-01-01T00:00:01Z", "b")],
+        [(None, "s", "user", "2026-01-01T00:00:00Z", "a"), (None, "s", "assistant", "2026-01-01T00:00:01Z", "b")],
         [],
     ],
 )
