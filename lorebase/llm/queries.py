@@ -124,7 +124,7 @@ pos AS (SELECT *, row_number() OVER w AS pos, lead(who) OVER w AS nxt FROM msg W
 keep AS (SELECT session_id FROM pos GROUP BY 1 HAVING bool_and(CASE WHEN who = 'user' THEN coalesce(nxt = 'assistant', false) ELSE true END) AND min_by(who, pos) = 'user')
 SELECT session_id, pos, event_id FROM pos WHERE session_id IN (SELECT session_id FROM keep)"""
 
-_OVER = f"""WITH {_CURRENT} SELECT 'pages' AS src, path AS item_key FROM cur WHERE length(content) > 6000
+_OVER = f"""WITH {_CURRENT.replace("tags DESC NULLS LAST", "length(content) DESC NULLS LAST")} SELECT 'pages' AS src, path AS item_key FROM cur WHERE length(content) > 6000
 UNION ALL SELECT DISTINCT 'chunks', chunk_id::VARCHAR FROM chunks WHERE abs(end_page - start_page) + 1 > 20 AND chunk_id IS NOT NULL"""
 
 ORACLES = {"p2_found": _TALK, "p3_found": _PAIRS, "p5_found": _OVER}

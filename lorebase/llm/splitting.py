@@ -99,12 +99,12 @@ def page_pieces(pages: DataFrame, limit: int = 6000, overlap: int = 200, keep_sm
     """Pieces of the current content of each path: ``src, item_key, piece_no, n_pieces, first, last, text``.
 
     ``first`` and ``last`` are code-point offsets, ``last`` exclusive. Content up to the limit is one piece; null content
-    is one piece with null text and offsets 0. ``keep_small=False`` returns only the pieces of oversized content and
+    is one piece with null text and offsets 0. Of a path's rows with the same ``updated`` the longest counts. ``keep_small=False`` returns only the pieces of oversized content and
     then ships no other text between tasks.
     """
     long = F.length("content") > limit
-    slim = pages.select("path", "updated", F.col("content") if keep_small else F.when(long, F.col("content")).alias("content"))
-    now = current_pages(slim, "content")
+    slim = pages.select("path", "updated", F.length("content").alias("size"), F.col("content") if keep_small else F.when(long, F.col("content")).alias("content"))
+    now = current_pages(slim, "size", "content")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
