@@ -38,11 +38,15 @@ def sized_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
     return stage(count_tokens(rows, "doc_id", "text", ["source"], path), "sizes")
 
 
-def plan_mixture(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+CORPUS = "corpus"
+
+
+def plan_mixture(sizes: DataFrame, targets: DataFrame, total: int | str | None = None) -> DataFrame:
     """``source, weight, max_repeats, target_share, docs, tokens, goal_tokens, copies``: one row per target source.
 
-    ``total``: the tokens of the whole mixture. None takes the most for which every source that has documents reaches
-    its share within its cap. With a given total a source that can't reach its share is used up to its cap.
+    ``total``: the tokens of the whole mixture; CORPUS takes those of all sources with weight. A source that can't reach
+    its share of it is used up to its cap. None takes the most for which every source that has documents reaches its
+    share within its cap, so that the smallest source decides how much of all others is used.
     """
     aims = clean_targets(targets)
     have = sizes.where("n_tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
@@ -51,7 +55,8 @@ def plan_mixture(sizes: DataFrame, targets: DataFrame, total: int | None = None)
     share = F.coalesce(F.try_divide(F.col("weight"), F.sum("weight").over(everything)), F.lit(0.0))
     plan = plan.withColumn("target_share", share)
     reach = F.when((F.col("target_share") > 0) & (F.col("tokens") > 0) & (F.col("max_repeats") > 0), F.col("tokens") * F.col("max_repeats") / F.col("target_share"))
-    total_c = F.lit(float(total)) if total is not None else F.coalesce(F.min(reach).over(everything), F.lit(0.0))
+    weighted = F.sum(F.when((F.col("target_share") > 0) & (F.col("max_repeats") > 0), F.col("tokens"))).over(everything).cast("double")
+    total_c = F.coalesce(weighted if total == CORPUS else F.lit(float(total)) if total is not None else F.min(reach).over(everything), F.lit(0.0))
     plan = plan.withColumn("goal_tokens", F.col("target_share") * total_c)
     copies = F.when(F.col("tokens") > 0, F.least(F.col("goal_tokens") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return plan.withColumn("copies", copies)
@@ -72,9 +77,12 @@ def mixture(sizes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """What was reached, per target source: documents and tokens in the mixture, share, most copies of a document."""
+    """What was reached, per target source: documents and tokens in the mixture, share, what it lacks of the target
+    share (``short_by``), most copies of a document."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count_distinct("doc_id").alias("mixed_docs"), F.max("copy").alias("most_copies"))
     out = plan.join(got, "source", "left").fillna(0, ["mixed_tokens", "mixed_docs", "most_copies"])
     whole = F.sum("mixed_tokens").over(Window.partitionBy())  # a row per target source
     why = F.when(F.col("weight") == 0, "no weight").when(F.col("docs") == 0, "no documents").when(F.col("copies") >= F.col("max_repeats"), "at its cap").otherwise("share reached")
-    return out.select("source", "weight", "max_repeats", "target_share", "docs", "tokens", "copies", "mixed_docs", "mixed_tokens", "most_copies", F.coalesce(F.try_divide(F.col("mixed_tokens"), whole), F.lit(0.0)).alias("share"), why.alias("state"))
+    out = out.withColumn("share", F.coalesce(F.try_divide(F.col("mixed_tokens"), whole), F.lit(0.0)))
+    short = F.greatest(F.col("target_share") - F.col("share"), F.lit(0.0))
+    return out.select("source", "weight", "max_repeats", "target_share", "docs", "tokens", "copies", "mixed_docs", "mixed_tokens", "most_copies", "share", short.alias("short_by"), why.alias("state"))

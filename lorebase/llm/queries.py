@@ -74,7 +74,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = mixing.sized_documents(table(spark, folder, "documents"))
-    plan = mixing.plan_mixture(sizes, table(spark, folder, "mix_targets"))
+    plan = mixing.plan_mixture(sizes, table(spark, folder, "mix_targets"), mixing.CORPUS)
     return mixing.mixture(sizes, plan), plan
 
 

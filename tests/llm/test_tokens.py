@@ -77,3 +77,17 @@ def test_mixture_of_nothing(spark):
     plan = X.plan_mixture(sizes, targets)
     assert X.mixture(sizes, plan).count() == 0 and X.shares(X.mixture(sizes, plan), plan).count() == 1
     assert X.plan_mixture(sizes, targets.limit(0)).count() == 0
+
+
+def test_a_small_source_does_not_shrink_the_mixture(spark, tmp_path):
+    from lorebase.llm.queries import QUERIES
+
+    rows = [("big", "word " * 50)] * 400 + [("middle", "word " * 50)] * 100 + [("tiny", "word " * 5)] * 2
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("big", 1.0, 1, ""), ("middle", 1.0, 4, ""), ("tiny", 1.0, 3, ""), ("none", 1.0, 1, "")]
+    spark.createDataFrame(targets, "source string, weight double, max_repeats int, note string").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r["source"]: r for r in QUERIES["p7_shares"](spark, str(tmp_path)).collect()}
+    assert 120 <= got["big"]["mixed_docs"] <= 130 and got["big"]["short_by"] == 0 and got["big"]["state"] == "share reached"
+    assert got["middle"]["mixed_docs"] == 100 and got["middle"]["most_copies"] == 2 and got["middle"]["short_by"] == 0
+    assert got["tiny"]["most_copies"] == 3 and got["tiny"]["state"] == "at its cap" and got["tiny"]["short_by"] > 0.2
+    assert got["none"]["short_by"] == 0.25
