@@ -4,10 +4,10 @@ One pass of a keyword automaton over a text says which rules can apply at all an
 run, and only there. Items found: email, phone, id_number, address, name.
 
 Surrogates: each item is replaced by another of its type, script and format, drawn with a secret key. Digits and letters
-of numbers are permuted by a keyed Feistel network over strings of the same format, so different numbers stay different
-everywhere; given names are replaced by names of the same gender, surnames and mail boxes by keyed syllables. Equal
-items get equal surrogates, in every row (coreference); within a text a surrogate that would collide with another item
-or occurs in the text already is drawn again.
+of numbers, mail boxes and hosts are permuted by a keyed Feistel network over strings of the same format, initials by a
+keyed cycle of the alphabet; given names are replaced by names of the same gender, surnames and words of addresses by
+syllables that spell a keyed permutation of them. Every one of these maps is injective and depends on the item alone:
+equal items get equal surrogates and different items different ones, in every row.
 """
 
 from __future__ import annotations
@@ -311,13 +311,13 @@ class Redactor:
         parts = leaves(content)
         if parts is None:
             broken = content.lstrip()[:2] in ("[{", '{"') and "\\" in content
-            return self._text(_unescape(content) if broken and self.detect(_unescape(content)) else content, {})
+            return self._text(_unescape(content) if broken and self.detect(_unescape(content)) else content)
         value, strings = parts
-        items, shared = [], {}
+        items = []
         for path, text in strings:
             key = path[-1] if path and isinstance(path[-1], str) and path[-1] not in _PLAIN_KEYS else None
             head = f'"{key}": "' if key else ""
-            new, own = self._text(head + text, shared)
+            new, own = self._text(head + text)
             if own:
                 items += own
                 at = value
@@ -327,7 +327,7 @@ class Redactor:
                     at[path[-1]] = new[len(head) :]
         return (json.dumps(value, ensure_ascii=False) if items else content), items
 
-    def _text(self, text: str, used: dict[str, tuple[str, str]]) -> tuple[str, list[tuple[str, str]]]:
+    def _text(self, text: str) -> tuple[str, list[tuple[str, str]]]:
         spans = self.detect(text)
         if not spans:
             return text, []
@@ -335,36 +335,85 @@ class Redactor:
         for a, b, kind in spans:
             item = text[a:b]
             items.append((kind, item))
-            out += [text[at:a], PLACEHOLDER[kind] if self.mode == "placeholder" else self.surrogate(kind, item, text, used)]
+            out += [text[at:a], PLACEHOLDER[kind] if self.mode == "placeholder" else self.surrogate(kind, item)]
             at = b
         return "".join(out) + text[at:], items
 
-    def surrogate(self, kind: str, item: str, text: str, used: dict[str, tuple[str, str]]) -> str:
-        same = canonical(kind, item)
-        for turn in range(16):
-            new = self._draw(kind, item, turn)
-            owner = used.setdefault(new.lower(), (kind, same))
-            if owner == (kind, same) and new not in text:
-                return new
-        return new
+    def surrogate(self, kind: str, item: str) -> str:
+        if kind in ("phone", "id_number"):
+            return self._format(kind, item, 0)
+        return self._email(item) if kind == "email" else self._address(item) if kind == "address" else self._name(item)
 
     def _bits(self, *of: object) -> int:
         return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, of)).encode("utf-8", "replace"), key=self.key[:64], digest_size=16).digest())
 
-    def _draw(self, kind: str, item: str, turn: int) -> str:
-        if kind in ("phone", "id_number"):
-            return self._format(kind, item, turn)
-        if kind == "email":
-            box, sep, host = re.match(rf"(?i)((?:mailto:)?.+?)({_AT}|[ \t]+(?:at|arroba)[ \t]+)(.*)", item, re.S).groups()
-            bits = self._bits("box", canonical(kind, item), turn)
-            new = _word(bits, 4)
-            new = new.upper() if box.isupper() else new
-            tail = re.split(r"(?i)(\.|[ \t]?[\[(]?dot[\])]?[ \t]?)", host)
-            tail[0] = _word(self._bits("host", tail[0].lower()), 2)
-            return ("mailto:" if box.lower().startswith("mailto:") else "") + new + sep + "".join(tail)
-        if kind == "address":
-            return self._address(item, turn)
-        return self._name(item, turn)
+    def _rounds(self, a: int, b: int, left: int, right: int, tweak: tuple, back: bool = False) -> tuple[int, int]:
+        """A keyed permutation of the pairs a < left, b < right; ``back``: its inverse."""
+        for step in reversed(range(6)) if back else range(6):
+            size, other = (right, a) if step % 2 else (left, b)
+            add = 0
+            for part in range(size.bit_length() // 128 + 1):
+                add = add << 128 | self._bits("rounds", *tweak, step, part, f"{other:x}")
+            if step % 2:
+                b = (b - add if back else b + add) % right
+            else:
+                a = (a - add if back else a + add) % left
+        return a, b
+
+    def _next(self, c: str, alphabet: str, *tweak: object) -> str:
+        """A keyed permutation of an alphabet, all letters in one cycle: none stays."""
+        order = sorted(alphabet, key=lambda x: self._bits("order", *tweak, x))
+        return order[(order.index(c) + 1) % len(order)]
+
+    def _spelled(self, word: str, *tweak: object) -> str:
+        """Syllables, different ones for different words: four at least, by the word's length more.
+
+        Words of a-z are numbered, others are their bytes and end in h; words of more than LONG characters are known by
+        a digest of 128 bits and end in s; what would be a given name ends in n.
+        """
+        if len(word) > LONG:
+            number, end = self._bits("long", *tweak, word), "s"
+        elif word.isascii() and word.isalpha():
+            number, end = 0, ""
+            for c in word:
+                number = number * 26 + ord(c) - 96
+        else:
+            number, end = int.from_bytes(b"\x01" + word.encode("utf-8", "surrogatepass")), "h"
+        size = max(4, -(-number.bit_length() // 6))
+        half = 8**size
+        a, b = self._rounds(*divmod(number, half), half, half, ("spelled", *tweak, end, size))
+        new = _word(a * half + b, size) + end
+        return new + "n" if new in self.detect.given else new
+
+    def _alike(self, word: str, *tweak: object) -> str:
+        """A permutation of the words with as many letters and digits; other ASCII characters stay at their places."""
+        if not word.isascii() or len(word) > LONG:
+            return self._spelled(word, *tweak) + ("" if word.isascii() else "ø")
+        own = "".join(c for c in word if c.isalnum())
+        if len(own) < 2:
+            new = own and self._next(own, _BASE36, *tweak)
+        else:
+            right = 36 ** (len(own) // 2)
+            left = 36 ** len(own) // right
+            tweak = ("alike", len(own), *tweak)
+            a, b = self._rounds(*divmod(int(own, 36), right), left, right, tweak)
+            n = (a * right + b + 1) % (left * right)  # one step of the cycle that the permutation orders: no word stays
+            a, b = self._rounds(*divmod(n, right), left, right, tweak, back=True)
+            n, new = a * right + b, ""
+            for _ in own:
+                n, digit = divmod(n, 36)
+                new = _BASE36[digit] + new
+        figures = iter(new)
+        return "".join(next(figures) if c.isalnum() else c for c in word)
+
+    def _email(self, item: str) -> str:
+        box, sep, host = re.match(rf"(?i)((?:mailto:)?.+?)({_AT}|[ \t]+(?:at|arroba)[ \t]+)(.*)", item, re.S).groups()
+        head = "mailto:" if box.lower().startswith("mailto:") else ""
+        box = box[len(head) :]
+        new = self._alike(box.lower(), "box", canonical("email", item).rpartition("@")[2])
+        tail = re.split(rf"({_DOT})", host, flags=re.I)
+        tail[0] = self._alike(tail[0].lower(), "host")
+        return head + (new.upper() if box.isupper() else new) + sep + "".join(tail)
 
     def _format(self, kind: str, item: str, turn: int) -> str:
         """A keyed permutation of the digits (and of the letters) of a number; separators, prefix and length stay."""
@@ -386,41 +435,42 @@ class Redactor:
             a, b = b, str((int(a) + self._bits("feistel", kind, n, turn, step, b)) % 10**size).zfill(size)
         return a + b
 
-    def _address(self, item: str, turn: int) -> str:
-        bits = self._bits("address", canonical("address", item), turn)
-        fixed = set("street road lane avenue ave drive boulevard blvd rd court flat suite apt apartment unit rue calle place chemin bis ter str weg box postfach apartado de la du des p o n s e w".split())
-        count = [0]
+    def _address(self, item: str) -> str:
+        fixed = set("street road lane avenue ave drive boulevard blvd rd court flat suite apt apartment unit rue calle place chemin bis ter str weg platz allee gasse strasse straße box postfach apartado de la du des p o n s e w".split())
 
         def swap(m: re.Match) -> str:
             w = m.group()
             if w.isdigit():
-                return self._feistel(w, "house", turn) if len(w) > 1 else w
-            if w.lower() in fixed or len(w) < 3:
+                return self._feistel(w, "house", 0) if len(w) > 1 else w
+            low = w.lower()
+            if low in fixed or len(w) < 3:
                 return w
-            count[0] += 1
-            end = next((e for e in ("strasse", "straße", "weg", "platz", "allee", "gasse") if w.lower().endswith(e)), "")
-            return _cased(_word(bits >> (count[0] * 11 % 90), 3) + end, w)
+            end = next((e for e in ("strasse", "straße", "weg", "platz", "allee", "gasse") if low.endswith(e)), "")
+            return _cased(self._spelled(low.removesuffix(end), "street") + end, w)
 
         return re.sub(r"\d+|[^\W\d_]+", swap, item)
 
-    def _name(self, item: str, turn: int) -> str:
+    def _name(self, item: str) -> str:
         tokens = re.split(r"([ \t,.-]+)", item)
         out = []
         for i, w in enumerate(tokens):
             low = w.lower()
             if i % 2 or not w or low in TITLES or re.fullmatch(PARTICLE.replace("[ \\t]+", ""), low):
                 out.append(w)
-            elif len(w) == 1:
-                out.append(_cased(chr(97 + self._bits("initial", low) % 26), w))
+            elif low in _LETTERS or low in _ACCENTED:
+                out.append(_cased(self._next(low, _LETTERS if low in _LETTERS else _ACCENTED, "initial"), w))
             elif low in self.detect.given:
                 pool = FEMALE if low in FEMALE else MALE
                 place = (pool.index(low) + 1 + self._bits("given", len(pool)) % (len(pool) - 1)) % len(pool)
                 out.append(_cased(pool[place], w))
             else:
-                out.append(_cased(_word(self._bits("surname", low, turn), 4), w))
+                out.append(_cased(self._spelled(canonical("name", w), "surname"), w))
         return "".join(out)
 
 
+LONG = 64
+_BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
+_LETTERS, _ACCENTED = _BASE36[10:], "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 _SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"][:64]
 
 

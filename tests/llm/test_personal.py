@@ -74,3 +74,40 @@ def test_tables(spark):
     assert red.where("record_key = 'long'").first()["text"].startswith("word word") and red.count() == 7
     empty = P.redact(P.records(pages.limit(0), events.limit(0), issues.limit(0), notes), "k")
     assert P.found(empty).count() == 0
+
+
+def test_different_people_stay_different_across_texts():
+    r = P.Redactor("lorebase-demo-key")
+    initials = [chr(65 + i) for i in range(26)] + ["É", "Ö"]
+    assert len({r(f"It was {c}. Smith who")[0] for c in initials}) == len(initials)
+    names = [f"{a}{b}{c}" for a in ("ab", "Zamo", "über", "o'n", "Šá") for b in ("bo", "vic", "ñe") for c in ("", "x", "son", "ström")]
+    assert len({r._name(f"Mr {n}") for n in names}) == len(names)
+    boxes = [f"{b}{i}" for i in range(4000) for b in ("x.", "jé")]
+    assert len({r.surrogate("email", f"{b}@x.example") for b in boxes}) == len(boxes)
+    hosts = [f"corp-{i}" for i in range(6000)] + [chr(97 + i) for i in range(26)]
+    assert len({r.surrogate("email", f"jd@{h}.example") for h in hosts}) == len(hosts)
+    assert len({r.surrogate("address", f"12 {a}{b} Road") for a in _PARTS for b in _PARTS}) == len(_PARTS) ** 2
+
+
+_PARTS = [a + b + c for a in "BDFKLMP" for b in "aeiou" for c in "dlnrst"]
+
+
+def test_many_surnames_stay_different():
+    r = P.Redactor("k")
+    words = [a + b for a in _PARTS for b in _PARTS]
+    assert len({r._name(f"Mr {w}") for w in words}) == len({w.lower() for w in words})
+
+
+def test_a_person_has_one_surrogate_in_all_texts():
+    r = P.Redactor("k1")
+    new = r.surrogate("name", "Petra Zamovic")
+    assert r(f"Petra Zamovic met with Mrs {new.split()[1]} and {new}.")[0].startswith(new)
+    assert r.surrogate("email", "j.doe@x.example") == r.surrogate("email", "j.doe [at] x [punkt] example").replace(" [at] ", "@").replace(" [punkt] ", ".")
+    assert not set(P.FEMALE) & set(P.MALE) and len(set(P.FEMALE)) == len(P.FEMALE) and len(set(P.MALE)) == len(P.MALE)
+
+
+def test_surrogates_of_long_and_odd_words():
+    r = P.Redactor("k")
+    for word in ("x" * 5000, "ß" * 60, "\ud800ab", "иванов", "a-b"):
+        assert word not in r._name(f"Mr {word}") and word not in r._alike(word, "t")
+    assert all(r._alike(f"a{i}", "t") != f"a{i}" for i in range(10)) and len(r._alike("jane.doe", "t")) == 8
