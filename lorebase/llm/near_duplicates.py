@@ -7,7 +7,8 @@ each, and the pairs that may pass are verified on their shingle sets.
 
 Recall at similarity s is 1-(1-s**5)**90: 0.9993 at 0.6, 0.99999 at 0.65. Records of few shingles, whose buckets stay
 empty, are joined exactly instead, by the prefixes of their sorted shingles. Records with equal sets are one class; only
-one of them takes part. Keys shared by very many classes are refined with further bands before any pair is emitted.
+one of them takes part. A band shared by very many classes is compared block by block, a prefix shared by very many is
+refined with a second one; neither loses a pair, so recall doesn't depend on how many records are alike.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ SWEEPS, BUCKETS, MANTISSA = 15, 32, 10
 ROWS, BANDS = 5, 90  # registers in a band, bands
 EMPTY = 0xFFFF
 FEW = 160  # records of at most so many shingles are (also) joined exactly
-HOT = 256  # classes that may share a key before it is refined
+HOT = 256  # classes that may share a key before it is refined or compared in blocks
+BLOCK = 512  # classes in a block
 SURE = 1.0 / math.sqrt(4 * SWEEPS * BUCKETS) * 4.5  # 4.5 standard errors of the estimate at their widest
 WORDS = re.compile(r"[^\W_]+")
 COPIES = 1000  # groups of exact copies up to this size are written as all their pairs
@@ -145,14 +147,15 @@ def sketches(records: DataFrame, k: int) -> DataFrame:
 
 
 def _keys(least: float, refine: bool = False):
-    """Keys of classes; with ``refine``, for each too common key of a class (``hot``) that key with each other one."""
+    """Keys of classes, those of bands odd, those of prefixes even; with ``refine``, for each too common prefix key of a
+    class (``hot``) that key with each other one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, keys = [], []
             for i, (rep, n, regs, few) in enumerate(zip(batch["rep"], batch["n"], batch["regs"], batch["few"])):
                 own = []
-                if n > FEW * least:
+                if n > FEW * least and not refine:
                     own.append(band_keys(np.frombuffer(regs, np.uint16)))
                 if few is not None:  # sets that share a hot element of their prefixes share another of the prefixes one longer
                     own.append(prefix_keys(np.frombuffer(few, np.uint64), least, 2 if refine else 1) & ~np.uint64(1))
@@ -182,13 +185,48 @@ def _pairs_in(keys: DataFrame) -> DataFrame:
     return groups.select(F.explode(later).alias("p")).select("p.a", "p.b")
 
 
+def _block_pairs(hot: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs of the classes of each too common band key (``rep, k, c``) that the estimate lets pass.
+
+    The classes of a key are cut into blocks and each pair of blocks is one task's work. A pair comes from the first band
+    it shares only; pairs of sets of at most FEW shingles are left to their prefixes.
+    """
+    blocks = F.ceil(F.col("c") / BLOCK)
+    rows = hot.join(classes.select("rep", "n", "regs"), "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    spread = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("k", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "rep", "n", "regs")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, k = pdf["x"].iloc[0], pdf["y"].iloc[0], np.uint64(int(pdf["k"].iloc[0]) & 0xFFFFFFFFFFFFFFFF)
+        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1)
+        bands = np.array([band_keys(r) for r in regs])
+        rep, n, block = pdf["rep"].to_numpy(), pdf["n"].to_numpy(float), pdf["block"].to_numpy()
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out: dict[str, list] = {"a": [], "b": []}
+        for at, i in enumerate(left):
+            others = right[at + 1 :] if x == y else right
+            small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
+            others = others[(small >= least * large) & (large > FEW)]
+            common = (bands[others] == bands[i]) & (bands[i] != 0)
+            others = others[bands[i][common.argmax(1)] == k]
+            if len(others):
+                for j in others[estimate(regs[i][None], regs[others], n[i], n[others]) >= least - SURE]:
+                    out["a"].append(min(rep[i], rep[j])), out["b"].append(max(rep[i], rep[j]))
+        return pd.DataFrame(out, dtype=object)
+
+    return spread.groupBy("k", "x", "y").applyInPandas(product, "a string, b string")
+
+
 def class_candidates(classes: DataFrame, least: float) -> DataFrame:
     """Distinct candidate pairs ``a < b`` of classes (``rep, n, regs, few``)."""
     shared = _shared(classes.mapInPandas(_keys(least), "k long, rep string"), "shared-keys")
     pairs = _pairs_in(shared.where(F.col("c") <= HOT))
-    hot = shared.where(F.col("c") > HOT).select("rep", F.col("k").alias("hot"))
-    if not hot.isEmpty():
-        finer = _shared(hot.join(classes, "rep").mapInPandas(_keys(least, True), "k long, rep string").distinct(), "finer-keys")
+    hot, band = shared.where(F.col("c") > HOT), F.col("k").bitwiseAND(F.lit(1)) == 1
+    if not hot.where(band).isEmpty():
+        pairs = pairs.unionByName(_block_pairs(hot.where(band), classes, least))
+    if not hot.where(~band).isEmpty():
+        prefixes = hot.where(~band).select("rep", F.col("k").alias("hot"))
+        finer = _shared(prefixes.join(classes, "rep").mapInPandas(_keys(least, True), "k long, rep string").distinct(), "finer-keys")
         a, b = finer.where(F.col("c") > HOT).alias("a"), finer.where(F.col("c") > HOT).alias("b")
         # classes that agree on two keys mostly are results; a join, so that a large key can be split
         large = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))

@@ -76,3 +76,21 @@ def test_estimate_is_close(spark):
         b = np.concatenate([a[:n], rng.integers(0, 2**63, 3000 - n, dtype=np.uint64)])
         got = N.estimate(N.registers(np.unique(a))[None], N.registers(np.unique(b))[None], np.array([3000.0]), np.array([3000.0]))[0]
         assert abs(got - n / (6000 - n)) < N.SURE
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_a_hot_band_is_enough(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "HOT", 3)
+    monkeypatch.setattr(N, "BLOCK", block, raising=False)
+    rng = random.Random(8)
+    data = {}
+    for v in range(60):
+        t = [f"w{i}" for i in range(450)]
+        for i in rng.sample(range(450), 19):
+            t[i] = f"v{v}x{i}"
+        data[f"v{v:02}"] = " ".join(t)
+    bands = {key: N.band_keys(N.registers(N.Shingler(3)(t))) for key, t in data.items()}
+    shared = {(a, b): int(((bands[a] == bands[b]) & (bands[a] != 0)).sum()) for a, b in exact(data, 3, 0.6)}
+    _, pairs = run(spark, data)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {p for p, n in shared.items() if n}
+    assert sum(n == 1 for n in shared.values()) > 2
