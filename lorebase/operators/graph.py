@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from lorebase.functions.text import wikilinks
+from lorebase.functions.text import strip, wikilinks
 from lorebase.operators.search import DOMAIN_TAGS, first_type, parent_folder, stem, tag_list
 
 
@@ -30,6 +30,21 @@ def link_edges(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return links.join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", F.lit("wikilink").alias("edge_type"))
 
 
+def named_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links ``src, target``, those that lead to a page ``src, target, dst``) of the wikilinks in ``path, title, content``.
+
+    Pages are known by path. A target means every page whose title or file name it is, in any case; a file name may have
+    hyphens for its blanks. Links of a page to itself lead to a page, too.
+    """
+    p = pages.where("path IS NOT NULL")
+    target = strip(F.col("raw"))
+    links = p.select(F.col("path").alias("src"), F.explode(wikilinks(F.col("content"))).alias("raw")).select("src", target.alias("target")).where("target <> ''").distinct()
+    name = F.explode(F.array(F.lower(strip(F.col("title"))), F.lower(stem(F.col("path")))))
+    names = p.select(name.alias("name"), F.col("path").alias("dst")).where("name <> ''").distinct()
+    keys = links.withColumn("name", F.explode(F.array_distinct(F.array(F.lower("target"), F.replace(F.lower("target"), F.lit(" "), F.lit("-"))))))
+    return links, keys.join(names, "name").select("src", "target", "dst").distinct()
+
+
 def tag_edges(nodes: DataFrame, tags: tuple[str, ...] = DOMAIN_TAGS) -> DataFrame:
     """Pairs of nodes ``id, domain, tags`` of different folders with common domain tags: an equi join on the tag.
 

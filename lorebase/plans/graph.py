@@ -28,7 +28,7 @@ def node_degree(spark, folder):
     return G.degrees(G.tag_edges(n), n)
 
 
-# page texts carry no wikilinks; their titles mention other pages' titles, which serves as link text here
+# links of other shapes (aliases, parts) than the pages have, made from lineitem; page_links and page_dead_links read the pages
 LINKS = """txt AS (SELECT id, '[[' || string_agg(t, ']] and [[' ORDER BY t) || ']]' AS content FROM (SELECT DISTINCT l_suppkey::VARCHAR AS id, CASE WHEN l_linenumber = 1 THEN (l_partkey % 120)::VARCHAR || '|alias' WHEN l_linenumber = 2 THEN (l_partkey % 120)::VARCHAR || '#part' ELSE (l_partkey % 120)::VARCHAR END AS t FROM lineitem) GROUP BY id)"""
 
 
@@ -55,6 +55,24 @@ def lint_dead_links(spark, folder):
     return G.dead_links(t.select(F.col("id").alias("src"), F.explode(wikilinks(F.col("content"))).alias("dst")), t)
 
 
+NAMED = CURRENT + r""", p AS (SELECT * FROM page WHERE path IS NOT NULL), raw AS (SELECT path AS src, unnest(regexp_extract_all(content, '\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]', 1)) AS raw FROM p),
+link AS (SELECT DISTINCT src, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS target FROM raw WHERE NOT regexp_full_match(raw, '\s*')),
+name AS (SELECT lower(regexp_replace(title, '^\s+|\s+$', '', 'g')) AS name, path FROM p UNION SELECT lower(regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '')), path FROM p),
+hit AS (SELECT src, target, path AS dst FROM link JOIN name ON name <> '' AND name IN (lower(target), replace(lower(target), ' ', '-')))"""
+
+
+@query(f"WITH {NAMED} SELECT DISTINCT src, dst, 'wikilink' AS edge_type FROM hit WHERE src <> dst")
+def page_links(spark, folder):
+    _, hits = G.named_links(pages(spark, folder))
+    return hits.where("src <> dst").select("src", "dst").distinct().withColumn("edge_type", F.lit("wikilink"))
+
+
+@query(f"WITH {NAMED} SELECT src, target AS dst FROM link WHERE (src, target) NOT IN (SELECT (src, target) FROM hit)")
+def page_dead_links(spark, folder):
+    links, hits = G.named_links(pages(spark, folder))
+    return links.join(hits, ["src", "target"], "left_anti").select("src", F.col("target").alias("dst"))
+
+
 @query("SELECT DISTINCT c_custkey::VARCHAR AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def lint_orphans(spark, folder):
     n = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("id"))

@@ -22,3 +22,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["path", "title", "tags", "summary", "snippet"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_links_of_pages_are_found(spark, tmp_path):
+    rows = [
+        ("wiki/a/one.md", "Decision 1: One", "2026-01-02", "See [[ two ways|x]], [[DECISION 3: Late#part]], [[Nowhere]], [[decision 1: one]] and [[Gone]]"),
+        ("wiki/a/one.md", "Decision 1: One", "2026-01-01", "an old state with [[Old]]"),
+        ("wiki/b/two-ways.md", None, None, "[[One]] [[ ]] [[nowhere|y]]"),
+        ("wiki/b/late.md", "Decision 3: Late", None, None),
+        ("wiki/c/late.md", "decision 3: late ", None, ""),
+        (None, "Gone", None, "[[One]]"),
+    ]
+    spark.createDataFrame([(p, t, "", "", u, c) for p, t, u, c in rows], "path string, title string, tags string, summary string, updated string, content string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {n: {(r["src"], r["dst"]) for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("page_links", "page_dead_links")}
+    assert got["page_links"] == {("wiki/a/one.md", d) for d in ("wiki/b/two-ways.md", "wiki/b/late.md", "wiki/c/late.md")} | {("wiki/b/two-ways.md", "wiki/a/one.md")}
+    assert got["page_dead_links"] == {("wiki/a/one.md", "Nowhere"), ("wiki/a/one.md", "Gone"), ("wiki/b/two-ways.md", "nowhere")}
