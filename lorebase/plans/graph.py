@@ -112,6 +112,17 @@ def k_hop_focus(spark, folder):
     return G.focus(links, sem, spark.range(1).select(F.lit("7").alias("id")))
 
 
+@query("""WITH l AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem), sym AS (SELECT src, dst FROM l UNION SELECT dst, src FROM l),
+seed AS (SELECT 'c' || min(o_custkey) AS id FROM orders), one AS (SELECT id FROM seed UNION SELECT dst FROM sym WHERE src IN (SELECT id FROM seed)), two AS (SELECT id FROM one UNION SELECT dst FROM sym WHERE src IN (SELECT id FROM one)),
+sem AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer) SELECT id FROM two UNION SELECT dst FROM sem WHERE src IN (SELECT id FROM seed)""")
+def order_focus(spark, folder):
+    """The first customer's orders and their suppliers, and the customer's nation, on whole tables and unfolded keys."""
+    name = lambda c, kind: F.concat(F.lit(kind), F.col(c))
+    o, l, c = (table(spark, folder, t) for t in ("orders", "lineitem", "customer"))
+    links = o.select(name("o_orderkey", "o").alias("src"), name("o_custkey", "c").alias("dst")).union(l.select(name("l_orderkey", "o"), name("l_suppkey", "s")))
+    return G.focus(links, c.select(name("c_custkey", "c").alias("src"), name("c_nationkey", "n").alias("dst")), o.agg(F.min("o_custkey").alias("c")).select(name("c", "c").alias("id")))
+
+
 @query(f"WITH {NODE}, {TAG_EDGES}, {_SEED} SELECT src, dst FROM tag_edge WHERE src IN (SELECT id FROM seed) AND dst IN (SELECT id FROM seed)")
 def induced_subgraph(spark, folder):
     n = nodes(spark, folder)

@@ -47,6 +47,13 @@ def ledger_merge(spark, folder):
     return L.merged(d.where("doc_id % 2 = 0").withColumn("state", F.lit("old")), d.where("doc_id % 3 = 0").withColumn("state", F.lit("new")), ["doc_id"])
 
 
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'rated' ELSE 'unrated' END AS state FROM documents UNION SELECT doc_id, 'rated' FROM labels WHERE doc_id IS NOT NULL")
+def label_merge(spark, folder):
+    """All documents, replaced by the rated ones."""
+    d = table(spark, folder, "documents").select("doc_id", F.lit("unrated").alias("state"))
+    return L.merged(d, table(spark, folder, "labels").where("doc_id IS NOT NULL").select("doc_id", F.lit("rated").alias("state")).distinct(), ["doc_id"])
+
+
 @query("SELECT coalesce(a.d, b.d) AS day, CASE WHEN a.d IS NULL THEN 'right' WHEN b.d IS NULL THEN 'left' ELSE 'both' END AS state FROM (SELECT DISTINCT left(date, 10) AS d FROM notes) a FULL OUTER JOIN (SELECT DISTINCT strftime(updated_at, '%Y-%m-%d') AS d FROM issues) b ON a.d = b.d")
 def compare_full_outer(spark, folder):
     a = table(spark, folder, "notes").select(F.substring("date", 1, 10).alias("day"))

@@ -37,3 +37,13 @@ def test_links_of_pages_are_found(spark, tmp_path):
     got = {n: {(r["src"], r["dst"]) for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("page_links", "page_dead_links")}
     assert got["page_links"] == {("wiki/a/one.md", d) for d in ("wiki/b/two-ways.md", "wiki/b/late.md", "wiki/c/late.md")} | {("wiki/b/two-ways.md", "wiki/a/one.md")}
     assert got["page_dead_links"] == {("wiki/a/one.md", "Nowhere"), ("wiki/a/one.md", "Gone"), ("wiki/b/two-ways.md", "nowhere")}
+
+
+def test_merge_and_focus_leave_no_key_out(spark, folder):
+    from lorebase.plans.catalogue import table
+
+    assert QUERIES["label_merge"](spark, folder).select("doc_id").distinct().count() == table(spark, folder, "documents").count()
+    orders = table(spark, folder, "orders")
+    least = orders.agg({"o_custkey": "min"}).first()[0]
+    got = {r["id"] for r in QUERIES["order_focus"](spark, folder).collect()}
+    assert {f"o{r['o_orderkey']}" for r in orders.where(f"o_custkey = {least}").collect()} == {i for i in got if i[0] == "o"} and any(i[0] == "s" for i in got)
