@@ -1,12 +1,12 @@
 """Personal information in free text: detection of typed items and keyed surrogates.
 
 One pass of a keyword automaton over a text says which rules can apply at all and where; only these regular expressions
-run, and only there. Items found: email, phone, id_number, address, name.
+run, and only there. Items found: email, phone, id_number, address, name; names are found by the trained tagger of ``names``.
 
 Surrogates: each item is replaced by another of its type, script and format, drawn with a secret key. Digits and letters
 of numbers, mail boxes and hosts are permuted by a keyed Feistel network over strings of the same format, initials by a
-keyed cycle of the alphabet; given names are replaced by names of the same gender, surnames and words of addresses by
-syllables that spell a keyed permutation of them. Every one of these maps is injective and depends on the item alone:
+keyed cycle of the alphabet; given names go along a keyed cycle of the names of their gender, surnames and words of addresses
+become syllables of their script that spell a keyed permutation of them. Every one of these maps is injective and depends on the item alone:
 equal items get equal surrogates and different items different ones, in every row.
 """
 
@@ -15,14 +15,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.llm.names import PARTICLES, TITLES, Tagger, apart
+
 KINDS = ("email", "phone", "id_number", "address", "name")
+_ORDER = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}  # which kind keeps a span that two claim
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 FEMALE = """ada agnes alice amara amelia amina ana anna anne astrid aveline beatriz camille carla carmen caroline catherine
@@ -37,9 +39,6 @@ george giovanni hamid hans hassan henrik henry hugo ibrahim igor ivan jack jakob
 juan karl kofi lars leon louis lucas luis magnus manuel marco mark martin matteo michael miguel mohamed nikolai nils oliver omar
 oriol oscar pablo patrick paul pedro peter philip pierre piet quentin rafael rafi ricardo robert samuel sergei simon stefan
 stephen søren soren thomas tobias tomas victor viggo walter werner william yusuf""".split()
-TITLES = {"mr": "m", "mrs": "f", "ms": "f", "miss": "f", "dr": "n", "prof": "n", "professor": "n", "herr": "m", "frau": "f", "mme": "f", "mlle": "f", "madame": "f", "monsieur": "m", "señor": "m", "señora": "f", "senora": "f", "senor": "m", "sra": "f", "don": "m", "doña": "f"}
-# words before a name; the name may then be in any case
-CUES = ("speaker 1 is", "speaker 2 is", "speaker 3 is", "patient", "attendees:", "attendee:", "interview with", "approved by", "signed,", "signed by", "met with", "thanks to", "complaint of", "customer:", "gesprächspartner:", "participants:", "dear", "it was", "owner |", "user |", "caller |", "contact |", '"caller": "', '"name": "', '"customer": "', '"owner": "', '"contact": "', "reported by", "asistentes:", "interlocuteur :", "rédigé par", "unterzeichnet:", "firmado:")
 # words that follow a given name without being a surname, or stand where a surname would
 COMMON = set("""a about after again all already also although always am an and any are as ask asked asks at be because been before
 being but by call called calls can cannot cc check checked checks come could cut did do does done draft each either every few for
@@ -49,15 +48,6 @@ on once one only or other our out over own page pass patterns please put ran rea
 she should since so some soon still such take takes than that the their them then there these they this those though through time to
 told took too trace two under until up upon us use used uses version via want wants was we went were what when where whether which
 while who whose why will with within without would writes wrote yet you your und oder aber et ou mais y o pero""".split())
-PARTICLE = r"(?:(?:de la|de los|de las|van der|van den|von der|vom|von|van|del|dos|das|da|de|di|du|el|al|la|le|bin|ibn|ten|ter|zu)[ \t]+)"
-_CAP = r"[A-ZÀ-ÖØ-ÞĀŁŚŠŽČ][^\W\d_]*(?:['’][A-ZÀ-ÖØ-Þ]?[^\W\d_]+)?(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)*"
-_ANY = r"[^\W\d_]{3,}(?:['’][^\W\d_]+)?(?:-[^\W\d_]{3,})*"
-AFTER_GIVEN = re.compile(rf"(?:-[^\W\d_]+)?[ \t]+(?:[^\W\d_]\.[ \t]*)?(?P<part>{PARTICLE}?)(?P<sur>{_ANY})", re.I)
-AFTER_TITLE = re.compile(rf"\.?[ \t]+(?:[A-Z]\.[ \t]*)*(?P<part>{PARTICLE}?)(?P<sur>{_CAP})")
-BEFORE_GIVEN = re.compile(rf"(?P<sur>(?:{PARTICLE})?{_ANY}),[ \t]+$", re.I)
-INITIAL = re.compile(rf"(?<![\w.'’])(?P<ini>[A-ZÀ-Ö]\.(?:[ \t]?[A-Z]\.)*)[ \t]+(?P<part>{PARTICLE}?)(?P<sur>{_CAP})")
-LOWER_INITIAL = re.compile(rf"(?P<ini>[^\W\d_]\.)[ \t]+(?P<part>{PARTICLE}?)(?P<sur>{_ANY})", re.I)
-
 _TLD = r"[A-Za-z]{2,24}"
 _AT = r"(?:[@＠]|[ \t]{1,2}[@＠][ \t]{1,2}|[ \t]{0,2}[\[({<][ \t]?(?:at|ät|arroba|chez)[ \t]?[\])}>][ \t]{0,2})"
 _DOT = r"(?:\.|[ \t]?[\[({<][ \t]?(?:dot|punkt|punto|point)[ \t]?[\])}>][ \t]?|[ \t](?:dot|punkt|punto|point)[ \t])"
@@ -107,12 +97,12 @@ def _lower(text: str) -> str:
 
 
 class Detector:
-    def __init__(self):
+    def __init__(self, tagger: bool = True):
         import ahocorasick
 
         self.auto = ahocorasick.Automaton()
         words: dict[str, list[tuple[str, str]]] = {}
-        for kind, group in (("given", FEMALE + MALE), ("title", list(TITLES)), ("cue", CUES), ("id", ID_WORDS)):
+        for kind, group in (("given", FEMALE + MALE), ("id", ID_WORDS)):
             for w in group:
                 words.setdefault(w, []).append((kind, w))
         for form, group in TRIGGERS.items():
@@ -123,7 +113,12 @@ class Detector:
         for w, uses in words.items():
             self.auto.add_word(w, (len(w), uses))
         self.auto.make_automaton()
-        self.given = set(FEMALE) | set(MALE)
+        self.given = frozenset(FEMALE) | frozenset(MALE)
+        self.tagger = Tagger(self.given) if tagger else None
+
+    def given_places(self, low: str) -> list[tuple[int, int]]:
+        """Where known given names stand in a text in lower case."""
+        return [(end - size + 1, end + 1) for end, (size, uses) in self.auto.iter(low) if any(kind == "given" for kind, _ in uses)]
 
     def __call__(self, text: str) -> list[tuple[int, int, str]]:
         """Items as (start, end, kind), ascending, not overlapping."""
@@ -140,17 +135,9 @@ class Detector:
         for form in TRIGGERS:
             if form in hits:
                 found += self._addresses(form, text, hits[form])
-        found += self._names(text, low, hits)
-        return self._apart(found)
-
-    @staticmethod
-    def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        order = {k: i for i, k in enumerate(("email", "id_number", "phone", "address", "name"))}
-        kept: list[tuple[int, int, str]] = []
-        for a, b, k in sorted(set(found), key=lambda x: (order[x[2]], x[0], -x[1])):
-            if all(b <= c or d <= a for c, d, _ in kept):
-                kept.append((a, b, k))
-        return sorted(kept)
+        if self.tagger:
+            found += [(a, b, "name") for a, b in self.tagger.spans(text, low, [(a, b) for a, b, _ in hits.get("given", ())])]
+        return apart(sorted(set(found), key=lambda x: (_ORDER[x[2]], x[0], -x[1])))
 
     @staticmethod
     def _emails(text: str, hits) -> Iterator[tuple[int, int, str]]:
@@ -158,7 +145,7 @@ class Detector:
         for start, end, word in hits:
             if start < last:
                 continue
-            low, high = max(0, start - 90), end + 120
+            low, high = max(0, start - 90), end + 400
             for rule in (EMAIL_WORDS,) if word.startswith(" ") or word == "arroba" else (EMAIL,):
                 for m in rule.finditer(text, low, high):
                     box = m.group("box").lower()
@@ -199,14 +186,26 @@ class Detector:
                 yield a, b, "phone"
 
     @staticmethod
-    def _addresses(form: str, text: str, hits) -> Iterator[tuple[int, int, str]]:
+    def _around(text: str, start: int, end: int) -> tuple[int, int]:
+        """A window of ten words, and of 70 characters at least, on either side; words are whole, whatever their length."""
+        low, high, n = start, end, 0
+        while low > 0 and (n < 10 or start - low < 70):
+            blank = text.rfind(" ", 0, low - 1) + 1
+            low, n = max(blank, text.rfind("\n", blank, low - 1) + 1), n + 1
+        n = 0
+        while high < len(text) and (n < 10 or high - end < 70):
+            blank = text.find(" ", high + 1)
+            line = text.find("\n", high + 1, blank if blank >= 0 else len(text))
+            high, n = line if line >= 0 else blank if blank >= 0 else len(text), n + 1
+        return low, high
+
+    def _addresses(self, form: str, text: str, hits) -> Iterator[tuple[int, int, str]]:
         last = -1
         for start, end, _ in hits:
             if start < last:
                 continue
-            low, high = max(0, start - 70), min(len(text), end + 70)
-            for m in ADDRESSES[form].finditer(text, low, high):
-                if m.end() <= start or (low and m.start() == low):
+            for m in ADDRESSES[form].finditer(text, *self._around(text, start, end)):
+                if m.end() <= start:
                     continue
                 name = m.group("n").split()
                 if form == "fr" and name[0][0].isupper() and name[0].lower() != "rue" and not re.match(r"\d+(?:[ \t]*(?:bis|ter|quater))?,|\d+[ \t]*(?:bis|ter|quater)", m.group(), re.I):
@@ -223,81 +222,51 @@ class Detector:
                 last = max(last, stop)
                 yield m.start(), stop, "address"
 
-    def _names(self, text: str, low: str, hits) -> Iterator[tuple[int, int, str]]:
-        for start, end, _ in hits.get("given", ()):
-            if start and (low[start - 1].isalnum() or low[start - 1] in "_@.-/'’+") and not text[start - 1 : start] == "'" or end < len(low) and (low[end].isalnum() or low[end] in "_@/’'+"):
-                if not (start > 1 and low[start - 1] == "." and low[start - 2].isspace()):
-                    continue
-            raised = text[start].isupper()
-            if (m := AFTER_GIVEN.match(text, end)) and self._surname(text, m, raised, start):
-                yield start, m.end(), "name"
-            elif m := BEFORE_GIVEN.search(text, max(0, start - 40), start):
-                sur = m.group("sur").split()[-1]
-                if sur.lower() not in COMMON and sur.lower() not in _GREETINGS and sur.lower() not in self.given and len(sur) > 3 and (sur[0].isupper() == raised):
-                    tail = re.compile(r"[ \t]+[A-Z]\.").match(text, end)
-                    yield m.start("sur"), tail.end() if tail else end, "name"
-        for start, end, word in hits.get("title", ()):
-            if start and (low[start - 1].isalnum() or low[start - 1] in "_@.-/'’") or end < len(low) and (low[end].isalnum() or low[end] in "_@/"):
-                continue
-            if text[start].isupper() and (m := AFTER_TITLE.match(text, end)) and self._family(m.group("sur")):
-                more = AFTER_GIVEN.match(text, m.end()) if m.group("sur").lower() in self.given else None
-                yield start, more.end() if more and self._family(more.group("sur")) else m.end(), "name"
-        for m in INITIAL.finditer(text):
-            if self._family(m.group("sur")) and m.group("sur") != "Box":
-                yield m.start(), m.end(), "name"
-        for _, end, _ in hits.get("cue", ()):
-            at = end + len(text[end : end + 3]) - len(text[end : end + 3].lstrip(" \t"))
-            if (m := LOWER_INITIAL.match(text, at)) and m.group("sur").lower() not in COMMON:
-                yield m.start(), m.end(), "name"
 
-    @staticmethod
-    def _family(sur: str) -> bool:
-        return len(sur) > 2 and sur.lower() not in COMMON and sur.lower() not in _CAPITAL_WORDS
+_LITERAL = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"([ \t\r\n]*:)?', re.S)
+_ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([\"\\/bfnrt]))")
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+_PLAIN_KEYS = {"text", "content", "body", "type", "thinking", "name", "command", "path", "file_path"}
+
+
+def _unescape(text: str) -> str:
+    return _unescaped(text)[0] if "\\" in text else text
 
-    def _surname(self, text: str, m: re.Match, raised: bool, start: int) -> bool:
-        sur = m.group("sur")
-        if sur.lower() in COMMON or sur.lower() in _GREETINGS:
-            return False
-        if sur[0].isupper():
-            return raised and self._family(sur)
-        if raised:  # a given name in capitals and a word in lower case: only after a particle
-            return False
-        return len(sur) > 3
 
+def _unescaped(text: str) -> tuple[str, list[int]]:
+    """The text without JSON escapes, and where each of its characters (and its end) stood."""
+    out, places, at = [], [], 0
+    for m in _ESCAPE.finditer(text):
+        out.append(text[at : m.start()])
+        places += range(at, m.start())
+        out.append(chr(int(m.group(1), 16)) if m.group(1) else _ESCAPES.get(m.group(2), m.group(2)))
+        places.append(m.start())
+        at = m.end()
+    out.append(text[at:])
+    return "".join(out), [*places, *range(at, len(text) + 1)]
 
-_GREETINGS = set("hi hello hey dear thanks thank regards best cheers greetings saludos hola grüße gruß hallo liebe lieber bonjour salut merci cordialement yes no ok okay please and".split())
-_CAPITAL_WORDS = set("redis query hybrid golden main state chunk planner loader street avenue road cluster set graph box search rewriter version keep note call measured nobody open once prefer since do our each with measure step table chapter route budget order latency".split())
 
+def literals(content: str) -> list[tuple[int, int, str, str]] | None:
+    """(start, end, head, text) of each string value of a content that is JSON, without its quotes; else None.
 
-def leaves(content: str) -> tuple[object, list[tuple[list, str]]] | None:
-    """(parsed JSON, its strings with their paths) of a content that is JSON, else None."""
-    head = content.lstrip()[:1]
-    if head not in ("[", "{"):
+    ``text`` is decoded; ``head`` is what a reader sees before it: its key, where the key says something.
+    """
+    if content.lstrip()[:1] not in ("[", "{"):
         return None
     try:
-        value = json.loads(content)
+        if not isinstance(json.loads(content), (list, dict)):
+            return None
     except (ValueError, RecursionError):
         return None
-    if not isinstance(value, (list, dict)):
-        return None
-    out, stack = [], [([], value)]
-    while stack:
-        path, v = stack.pop()
-        if isinstance(v, str):
-            out.append((path, v))
-        elif isinstance(v, dict):
-            stack.extend(([*path, k], x) for k, x in v.items())
-        elif isinstance(v, list):
-            stack.extend(([*path, i], x) for i, x in enumerate(v))
-    return value, out
-
-
-_ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([\"\\/nrt]))")
-_PLAIN_KEYS = {"text", "content", "body", "type", "thinking", "name", "command", "path", "file_path"}
-
-
-def _unescape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: chr(int(m.group(1), 16)) if m.group(1) else {"n": "\n", "r": "\r", "t": "\t"}.get(m.group(2), m.group(2)), text)
+    out, key = [], ""
+    for m in _LITERAL.finditer(content):
+        if m.group(2):
+            key = m.group(1)
+        else:
+            out.append((*m.span(1), f'"{key}": "' if key and key not in _PLAIN_KEYS else "", _unescape(m.group(1))))
+            if content[m.end() : m.end() + 2].lstrip()[:1] != ",":
+                key = ""
+    return out
 
 
 class Redactor:
@@ -305,45 +274,59 @@ class Redactor:
 
     def __init__(self, key: str, mode: str = "surrogate"):
         self.detect, self.key, self.mode = Detector(), key.encode(), mode
+        self.cycles: dict[tuple, dict[str, str]] = {}
 
     def __call__(self, content: str) -> tuple[str, list[tuple[str, str]]]:
-        """(content with its items replaced, [(kind, item)]); JSON stays JSON, without items nothing changes."""
-        parts = leaves(content)
-        if parts is None:
-            broken = content.lstrip()[:2] in ("[{", '{"') and "\\" in content
-            return self._text(_unescape(content) if broken and self.detect(_unescape(content)) else content)
-        value, strings = parts
-        items = []
-        for path, text in strings:
-            key = path[-1] if path and isinstance(path[-1], str) and path[-1] not in _PLAIN_KEYS else None
-            head = f'"{key}": "' if key else ""
-            new, own = self._text(head + text)
-            if own:
-                items += own
-                at = value
-                for step in path[:-1]:
-                    at = at[step]
-                if new.startswith(head):
-                    at[path[-1]] = new[len(head) :]
-        return (json.dumps(value, ensure_ascii=False) if items else content), items
-
-    def _text(self, text: str) -> tuple[str, list[tuple[str, str]]]:
-        spans = self.detect(text)
-        if not spans:
-            return text, []
+        """(content with its items replaced, [(kind, item)])."""
+        new, items = self.replaced(content)
+        return new, [(kind, item) for kind, item, _ in items]
+
+    def replaced(self, content: str) -> tuple[str, list[tuple[str, str, str]]]:
+        """(content with its items replaced, [(kind, item, surrogate)]); all else stays as it was written, character by character.
+
+        The strings of JSON, damaged JSON too, are read without their escapes and written with them.
+        """
+        strings = literals(content)
+        if strings is None:
+            escaped = content.lstrip()[:2] in ("[{", '{"') and "\\" in content
+            strings = [(0, len(content), "", _unescape(content))] if escaped else None
+        if strings is None:
+            return self._replaced(content, self.detect(content))
+        out, at, items = [], 0, []
+        for a, b, head, text in strings:
+            spans = [(max(0, x - len(head)), y - len(head), kind) for x, y, kind in self.detect(head + text) if y > len(head)]
+            if spans:
+                raw = content[a:b]
+                places = _unescaped(raw)[1]
+                cut = 0
+                for x, y, kind in spans:
+                    new, own = self._replaced(text[x:y], [(0, y - x, kind)])
+                    items += own
+                    out += [content[at : a + places[x]] if not cut else raw[cut : places[x]], json.dumps(new, ensure_ascii=False)[1:-1]]
+                    cut = places[y]
+                at = a + cut
+        return "".join(out) + content[at:], items
+
+    def _replaced(self, text: str, spans: list[tuple[int, int, str]]) -> tuple[str, list[tuple[str, str, str]]]:
+        """(text with its spans replaced, [(kind, item, what stands for it)])."""
         out, at, items = [], 0, []
         for a, b, kind in spans:
             item = text[a:b]
-            items.append((kind, item))
-            out += [text[at:a], PLACEHOLDER[kind] if self.mode == "placeholder" else self.surrogate(kind, item)]
+            new = PLACEHOLDER[kind] if self.mode == "placeholder" else self.surrogate(kind, item)
+            items.append((kind, item, new))
+            out += [text[at:a], new]
             at = b
         return "".join(out) + text[at:], items
 
     def surrogate(self, kind: str, item: str) -> str:
         if kind in ("phone", "id_number"):
-            return self._format(kind, item, 0)
+            return self._format(kind, item)
         return self._email(item) if kind == "email" else self._address(item) if kind == "address" else self._name(item)
 
+    def digest(self, kind: str, text: str) -> str:
+        """A keyed digest of an item (or of a surrogate): equal for equal ones, however they are written."""
+        return f"{kind}:{self._bits('item', kind, canonical(kind, text)):032x}"
+
     def _bits(self, *of: object) -> int:
         return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, of)).encode("utf-8", "replace"), key=self.key[:64], digest_size=16).digest())
 
@@ -360,49 +343,67 @@ class Redactor:
                 a = (a - add if back else a + add) % left
         return a, b
 
-    def _next(self, c: str, alphabet: str, *tweak: object) -> str:
-        """A keyed permutation of an alphabet, all letters in one cycle: none stays."""
-        order = sorted(alphabet, key=lambda x: self._bits("order", *tweak, x))
-        return order[(order.index(c) + 1) % len(order)]
+    def _next(self, c: str, alphabet: str | list[str], *tweak: object) -> str:
+        """A keyed permutation of an alphabet or list, all its members in one cycle: none stays."""
+        known = self.cycles.get(tweak)
+        if known is None:
+            order = sorted(alphabet, key=lambda x: self._bits("order", *tweak, x))
+            known = self.cycles[tweak] = dict(zip(order, order[1:] + order[:1]))
+        return known[c]
+
+    def _moved(self, places: list[tuple[int, int]], *tweak: object) -> list[int]:
+        """A keyed permutation of the tuples (value < radix) of given radices under which none stays, but for one tuple in all."""
+        half = len(places) // 2
+        left, right, a, b = 1, 1, 0, 0
+        for i, (value, radix) in enumerate(places):
+            if i < half:
+                left, a = left * radix, a * radix + value
+            else:
+                right, b = right * radix, b * radix + value
+        a, b = self._rounds(a, b, left, right, tweak)
+        n = (a * right + b + 1) % (left * right)  # one step of the cycle that the permutation orders
+        a, b = self._rounds(*divmod(n, right), left, right, tweak, back=True)
+        n, out = a * right + b, []
+        for _, radix in reversed(places):
+            n, value = divmod(n, radix)
+            out.append(value)
+        return out[::-1]
 
     def _spelled(self, word: str, *tweak: object) -> str:
-        """Syllables, different ones for different words: four at least, by the word's length more.
+        """Another word of the same script, different ones for different words.
 
-        Words of a-z are numbered, others are their bytes and end in h; words of more than LONG characters are known by
-        a digest of 128 bits and end in s; what would be a given name ends in n.
+        Latin, Cyrillic and Greek words become syllables of their script: four at least, by the word's length more. Latin
+        words with other letters than a-z end in é; words of more than LONG characters are known by a digest of 128 bits
+        and end in s; what would be a given name ends in n. Words of a script in BLOCKS become as many of its characters.
         """
+        block = next(((low, high) for low, high in BLOCKS if all(low <= ord(c) <= high for c in word)), None)
+        if block and len(word) <= LONG:
+            size = block[1] - block[0] + 1
+            return "".join(chr(block[0] + v) for v in self._moved([(ord(c) - block[0], size) for c in word], "block", block[0], len(word), *tweak))
+        script, first, size = next(((name, first, size) for name, first, size in ALPHABETS if all(first <= ord(c) < first + size for c in word)), ("LATIN", 0, 0))
         if len(word) > LONG:
-            number, end = self._bits("long", *tweak, word), "s"
-        elif word.isascii() and word.isalpha():
+            number, end = self._bits("long", *tweak, word), {"CYRILLIC": "с", "GREEK": "ς"}.get(script, "s")
+        elif size:
             number, end = 0, ""
             for c in word:
-                number = number * 26 + ord(c) - 96
+                number = number * size + ord(c) - first + 1
         else:
-            number, end = int.from_bytes(b"\x01" + word.encode("utf-8", "surrogatepass")), "h"
+            number, end = int.from_bytes(b"\x01" + word.encode("utf-8", "surrogatepass")), "é"
         size = max(4, -(-number.bit_length() // 6))
         half = 8**size
-        a, b = self._rounds(*divmod(number, half), half, half, ("spelled", *tweak, end, size))
-        new = _word(a * half + b, size) + end
+        a, b = self._rounds(*divmod(number, half), half, half, ("spelled", *tweak, script, end, size))
+        new = _word(a * half + b, size, script) + end
         return new + "n" if new in self.detect.given else new
 
     def _alike(self, word: str, *tweak: object) -> str:
         """A permutation of the words with as many letters and digits; other ASCII characters stay at their places."""
         if not word.isascii() or len(word) > LONG:
             return self._spelled(word, *tweak) + ("" if word.isascii() else "ø")
-        own = "".join(c for c in word if c.isalnum())
+        own = [c for c in word if c.isalnum()]
         if len(own) < 2:
-            new = own and self._next(own, _BASE36, *tweak)
+            new = own and [self._next(own[0], _BASE36, "one", *tweak)]
         else:
-            right = 36 ** (len(own) // 2)
-            left = 36 ** len(own) // right
-            tweak = ("alike", len(own), *tweak)
-            a, b = self._rounds(*divmod(int(own, 36), right), left, right, tweak)
-            n = (a * right + b + 1) % (left * right)  # one step of the cycle that the permutation orders: no word stays
-            a, b = self._rounds(*divmod(n, right), left, right, tweak, back=True)
-            n, new = a * right + b, ""
-            for _ in own:
-                n, digit = divmod(n, 36)
-                new = _BASE36[digit] + new
+            new = [_BASE36[v] for v in self._moved([(int(c, 36), 36) for c in own], "alike", len(own), *tweak)]
         figures = iter(new)
         return "".join(next(figures) if c.isalnum() else c for c in word)
 
@@ -412,28 +413,21 @@ class Redactor:
         box = box[len(head) :]
         new = self._alike(box.lower(), "box", canonical("email", item).rpartition("@")[2])
         tail = re.split(rf"({_DOT})", host, flags=re.I)
-        tail[0] = self._alike(tail[0].lower(), "host")
+        tail[:-1:2] = [self._alike(label.lower(), "host") for label in tail[:-1:2]]
         return head + (new.upper() if box.isupper() else new) + sep + "".join(tail)
 
-    def _format(self, kind: str, item: str, turn: int) -> str:
-        """A keyed permutation of the digits (and of the letters) of a number; separators, prefix and length stay."""
-        digits = [c for c in item if c.isdigit()]
-        keep = 2 if kind == "phone" and item[:1] == "+" else 1 if kind == "phone" and digits[:1] == ["0"] else 0
-        new = digits[:keep] + list(self._feistel("".join(digits[keep:]), kind, turn))
-        letters = iter([chr(ord("A") + (ord(c.upper()) - 65 + self._bits("letter", kind, turn, len(item)) % 25 + 1) % 26) if "A" <= c.upper() <= "Z" else c for c in item if c.isalpha()])
-        figures = iter(new)
-        return "".join(next(figures) if c.isdigit() else (next(letters) if kind == "id_number" else c) if c.isalpha() else c for c in item)
-
-    def _feistel(self, digits: str, kind: str, turn: int) -> str:
-        n = len(digits)
-        if n < 2:
-            return digits
-        half = n // 2
-        a, b = digits[:half], digits[half:]
-        for step in range(6):  # an even number of rounds: the halves end at their places
-            size = len(a)
-            a, b = b, str((int(a) + self._bits("feistel", kind, n, turn, step, b)) % 10**size).zfill(size)
-        return a + b
+    def _format(self, kind: str, item: str) -> str:
+        """Digits become digits and letters letters, all of a number together; separators, a phone's prefix and the length stay."""
+        own = [c for c in item if c.isdecimal() or kind == "id_number" and "a" <= c.lower() <= "z"]
+        keep = 0
+        if kind == "phone":
+            keep = 2 if "+" in item[:2] else 1 if own[:1] == ["0"] else 0
+        form = "".join("0" if c.isdecimal() else "A" for c in own)
+        places = [(int(c), 10) if c.isdecimal() else (ord(c.lower()) - 97, 26) for c in own[keep:]]
+        tweak = (kind, form, "".join(own[:keep]))
+        new = self._moved(places, *tweak) if len(places) > 1 else [(v + 1) % radix for v, radix in places]
+        figures = iter([*own[:keep], *(str(v) if radix == 10 else _LETTERS[v] for v, (_, radix) in zip(new, places))])
+        return "".join(_cased(next(figures), c) if c.isdecimal() or kind == "id_number" and "a" <= c.lower() <= "z" else c for c in item)
 
     def _address(self, item: str) -> str:
         fixed = set("street road lane avenue ave drive boulevard blvd rd court flat suite apt apartment unit rue calle place chemin bis ter str weg platz allee gasse strasse straße box postfach apartado de la du des p o n s e w".split())
@@ -441,7 +435,7 @@ class Redactor:
         def swap(m: re.Match) -> str:
             w = m.group()
             if w.isdigit():
-                return self._feistel(w, "house", 0) if len(w) > 1 else w
+                return "".join(map(str, self._moved([(int(c), 10) for c in w], "house", len(w)))) if len(w) > 1 else w
             low = w.lower()
             if low in fixed or len(w) < 3:
                 return w
@@ -455,14 +449,13 @@ class Redactor:
         out = []
         for i, w in enumerate(tokens):
             low = w.lower()
-            if i % 2 or not w or low in TITLES or re.fullmatch(PARTICLE.replace("[ \\t]+", ""), low):
+            if i % 2 or not w or low in TITLES or low in PARTICLES:
                 out.append(w)
             elif low in _LETTERS or low in _ACCENTED:
-                out.append(_cased(self._next(low, _LETTERS if low in _LETTERS else _ACCENTED, "initial"), w))
+                out.append(_cased(self._next(low, _LETTERS if low in _LETTERS else _ACCENTED, "initial", low in _LETTERS), w))
             elif low in self.detect.given:
-                pool = FEMALE if low in FEMALE else MALE
-                place = (pool.index(low) + 1 + self._bits("given", len(pool)) % (len(pool) - 1)) % len(pool)
-                out.append(_cased(pool[place], w))
+                gender = "f" if low in _FEMALE else "m"
+                out.append(_cased(self._next(low, FEMALE if gender == "f" else MALE, "given", gender), w))
             else:
                 out.append(_cased(self._spelled(canonical("name", w), "surname"), w))
         return "".join(out)
@@ -471,11 +464,19 @@ class Redactor:
 LONG = 64
 _BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 _LETTERS, _ACCENTED = _BASE36[10:], "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
-_SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"][:64]
+_SYLLABLES = {
+    script: [c + v for c in consonants for v in vowels][:64]
+    for script, consonants, vowels in (("LATIN", "bdfgklmnprstvz", "aeiou"), ("CYRILLIC", "бвгдзклмнпрст", "аеиоу"), ("GREEK", "βγδζθκλμνπρστ", "αεηιο"))
+}
+#: script, first letter and count of the small letters by which words are numbered
+ALPHABETS = (("LATIN", ord("a"), 26), ("CYRILLIC", 0x430, 0x30), ("GREEK", 0x3AC, 0x23))
+#: first and last character of scripts that are written back in their own characters: Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul
+BLOCKS = ((0x5D0, 0x5EA), (0x621, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+_FEMALE = frozenset(FEMALE)
 
 
-def _word(bits: int, syllables: int) -> str:
-    return "".join(_SYLLABLES[(bits >> 6 * i) & 63] for i in range(syllables))
+def _word(bits: int, syllables: int, script: str = "LATIN") -> str:
+    return "".join(_SYLLABLES[script][(bits >> 6 * i) & 63] for i in range(syllables))
 
 
 def _cased(new: str, old: str) -> str:
@@ -488,7 +489,7 @@ def canonical(kind: str, item: str) -> str:
     if kind == "email":
         low = re.sub(r"^mailto:", "", re.sub(_AT, "@", re.sub(r"[ \t]+(?:at|arroba)[ \t]+", "@", low)))
         return re.sub(r"[ \t]?[\[({<]?\b(?:dot|punkt|punto|point)\b[\])}>]?[ \t]?", ".", low)
-    return re.sub(r"[\W_]+", "", low)
+    return ("+" if kind == "phone" and "+" in item[:2] else "") + re.sub(r"[\W_]+", "", low)
 
 
 FIELDS = (("pages", "content"), ("session_events", "content"), ("issues", "description"), ("issues", "body"), ("notes", "body"))
@@ -505,12 +506,12 @@ def records(pages: DataFrame, events: DataFrame, issues: DataFrame, notes: DataF
     return out.where(F.col("text").isNotNull())
 
 
-REDACTED = "src string, field string, record_key string, text string, kinds array<string>, items array<string>"
+REDACTED = "src string, field string, record_key string, text string, kinds array<string>, items array<struct<item:string,surrogate:string>>"
 
 
 def redact(rows: DataFrame, key: str, mode: str = "surrogate", with_text: bool = True) -> DataFrame:
-    """``src, field, record_key, text, kinds, items``: each text with its items replaced, the kinds found, and a keyed
-    digest of each item (never the item).
+    """``src, field, record_key, text, kinds, items``: each text with its items replaced, the kinds found, and keyed
+    digests of each item and of what stands for it (never the item).
 
     ``key`` is the secret of the surrogates. Texts are processed whole. Rows with null text are expected to be left out;
     a text without items comes back unchanged with empty arrays. ``with_text=False`` leaves the text null.
@@ -521,15 +522,27 @@ def redact(rows: DataFrame, key: str, mode: str = "surrogate", with_text: bool =
         for batch in batches:
             texts, kinds, items = [], [], []
             for text in batch["text"]:
-                new, found = worker(text) if text else (text, [])
+                new, found = worker.replaced(text) if text else (text, [])
                 texts.append(new if with_text else None)
-                kinds.append(sorted({k for k, _ in found}))
-                items.append(sorted({f"{k}:{worker._bits('item', k, canonical(k, i)):032x}" for k, i in found}))
+                kinds.append(sorted({k for k, _, _ in found}))
+                items.append([{"item": a, "surrogate": b} for a, b in sorted({(worker.digest(k, i), worker.digest(k, n)) for k, i, n in found})])
             yield pd.DataFrame({"src": batch["src"], "field": batch["field"], "record_key": batch["record_key"], "text": texts, "kinds": kinds, "items": items})
 
     return rows.select("src", "field", "record_key", "text").mapInPandas(run, REDACTED)
 
 
+def distinctness(redacted: DataFrame) -> DataFrame:
+    """``kind, items, surrogates, merged, split``: over all rows, how many different items and surrogates there are, how
+    many surrogates stand for more than one item and how many items have more than one surrogate; both should be 0.
+
+    Pairs combine before the shuffle, so an item that a third of all rows hold is sent once a task. No items, no rows.
+    """
+    pairs = redacted.select(F.explode("items").alias("p")).select(F.substring_index("p.item", ":", 1).alias("kind"), "p.item", "p.surrogate").distinct()
+    by = lambda name: pairs.groupBy("kind", name).agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.count(F.lit(1)).alias(f"{name}s"), F.count_if(F.col("n") > 1).alias(f"{name}_more"))
+    both = by("item").join(by("surrogate"), "kind")
+    return both.select("kind", "items", "surrogates", F.col("surrogate_more").alias("merged"), F.col("item_more").alias("split"))
+
+
 def found(redacted: DataFrame) -> DataFrame:
     """``src, field, record_key, kind``, each once."""
     return redacted.where(F.size("kinds") > 0).select("src", "field", "record_key", F.explode("kinds").alias("kind")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,17 @@ from lorebase.llm import abuse, conversations, cooccurrence, mixing, near_duplic
 from lorebase.llm.common import table
 
 
-SURROGATE_KEY = "lorebase-demo-key"  # a deployment passes its own secret
+DEMO_KEY = "lorebase-demo-key"
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of the surrogates: the session's ``spark.lorebase.surrogateKey``, else LOREBASE_SURROGATE_KEY, else one for tests."""
+    return spark.conf.get("spark.lorebase.surrogateKey", os.environ.get("LOREBASE_SURROGATE_KEY", DEMO_KEY))
 
 
 def _redacted(spark: SparkSession, folder: str, mode: str, with_text: bool) -> DataFrame:
     rows = personal.records(*(table(spark, folder, t) for t in ("pages", "session_events", "issues", "notes")))
-    return personal.redact(rows, SURROGATE_KEY, mode, with_text)
+    return personal.redact(rows, surrogate_key(spark), mode, with_text)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +36,11 @@ def p1_placeholders(spark: SparkSession, folder: str) -> DataFrame:
     return _redacted(spark, folder, "placeholder", True).select("src", "field", "record_key", "text")
 
 
+def p1_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind the items, their surrogates, and how many of them clash: none should."""
+    return personal.distinctness(_redacted(spark, folder, "surrogate", False))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuild(table(spark, folder, "session_events")).select(F.col("channel").alias("session_id"), "pos", "event_id")
 
@@ -98,7 +110,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(abuse.score(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_surrogates, p1_placeholders, p2_found, p2_channels, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_surrogates, p1_placeholders, p1_distinct, p2_found, p2_channels, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
 _DAY = """coalesce(try_cast(regexp_extract(updated, '^\\s*(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 1) AS INT) * 10000 + try_cast(regexp_extract(updated, '^\\s*(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 2) AS INT) * 100
     + try_cast(regexp_extract(updated, '^\\s*(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 3) AS INT), 0)"""
 _CURRENT = f"""cur AS (SELECT path, tags, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY {_DAY} DESC, coalesce(updated, '') DESC, tags DESC NULLS LAST, content DESC NULLS LAST) AS rn FROM pages WHERE path IS NOT NULL) WHERE rn = 1)"""

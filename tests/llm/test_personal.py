@@ -49,7 +49,7 @@ def test_surrogates_keep_type_format_gender_and_coreference():
 
 def test_numbers_of_one_format_stay_distinct():
     r = P.Redactor("k")
-    made = {r._format("id_number", f"{i:05}", 0) for i in range(20_000)}
+    made = {r._format("id_number", f"{i:05}") for i in range(20_000)}
     assert len(made) == 20_000
 
 
@@ -111,3 +111,48 @@ def test_surrogates_of_long_and_odd_words():
     for word in ("x" * 5000, "ß" * 60, "\ud800ab", "иванов", "a-b"):
         assert word not in r._name(f"Mr {word}") and word not in r._alike(word, "t")
     assert all(r._alike(f"a{i}", "t") != f"a{i}" for i in range(10)) and len(r._alike("jane.doe", "t")) == 8
+
+
+def test_json_keeps_what_is_no_item():
+    r = P.Redactor("k", "placeholder")
+    content = '[ {"type" : "text",\n "text":"caf\\u00e9 \\"x\\" mail a.b@c.example\\nend"} , {"n": 1.50} ]'
+    assert r(content)[0] == content.replace("a.b@c.example", "[EMAIL]")
+    assert r(content[:-20])[0] == content[:-20].replace("a.b@c.example", "[EMAIL]")
+    made = P.Redactor("k")(content)[0]
+    assert json.loads(made)[0]["text"].startswith('café "x" mail ') and json.loads(made)[1] == {"n": 1.5}
+
+
+def test_scripts_are_kept():
+    r = P.Redactor("k")
+    for word, low, high in (("Иванов", "а", "я"), ("Παπαδόπουλος", "α", "ώ"), ("张伟", "一", "龥"), ("김민수", "가", "힣"), ("タナカ", "ァ", "ヺ")):
+        new = r._name(word).lower()
+        assert new != word.lower() and all(low <= c <= high for c in new), new
+    assert r._name("Müller").endswith("é") and r._name("Miller").isascii()
+    for made in ({r._name(chr(0x430 + i) + chr(0x430 + j) + chr(0x430 + k)) for i in range(32) for j in range(32) for k in range(8)}, {r._name(chr(0x4E00 + i)) for i in range(8192)}):
+        assert len(made) == 8192
+
+
+def test_numbers_with_letters_move_together():
+    r = P.Redactor("k")
+    made = {r._format("id_number", f"{a}{b}{n:04}") for a in "ABCDE" for b in "ABCDE" for n in range(1200)}
+    assert len(made) == 30_000 and all(len(x) == 6 and x[:2].isupper() and x[2:].isdigit() for x in made)
+    assert r._format("id_number", "901-26-7949").replace("-", "") == r._format("id_number", "901267949")
+    steps = {(ord(r._format("id_number", f"{a}B123456")[0]) - ord(a)) % 26 for a in "ABCDEFGHIJ"}
+    assert len(steps) > 3
+    moves = {(P.FEMALE.index(r._next(n, P.FEMALE, "given", "f")) - i) % len(P.FEMALE) for i, n in enumerate(P.FEMALE)}
+    assert len(moves) > 20 and {r._next(n, P.FEMALE, "given", "f") for n in P.FEMALE} == set(P.FEMALE)
+
+
+def test_long_items_have_no_window():
+    r = P.Redactor("k", "placeholder")
+    assert r("see jane@" + "mail." * 40 + "example now")[0] == "see [EMAIL] now"
+    street = "12 " + "Abcdefghij-" * 30 + "Klm Road"
+    assert r(f"at {street}, now")[0].startswith("at [ADDRESS]")
+
+
+def test_distinct_over_all_rows(spark):
+    pages = spark.createDataFrame([(f"p{i}", f"write to a{i % 50}@b{i % 7}.example or {i % 90:03} 555-0{i % 90:03}, +44 20 7946 {i:04}, asked Petra Zamovic{chr(97 + i % 26)}") for i in range(300)], "path string, content string")
+    rows = P.records(pages, *(spark.createDataFrame([], s) for s in ("event_id long, content string", "id string, description string, comments struct<nodes:array<struct<body:string>>>", "note_id long, body string")))
+    found = {r["kind"]: r for r in P.distinctness(P.redact(rows, "k")).collect()}
+    assert {"email", "phone", "name"} <= set(found) and all(r["merged"] == r["split"] == 0 and r["items"] == r["surrogates"] for r in found.values())
+    assert found["email"]["items"] == 300 and P.distinctness(P.redact(rows.limit(0), "k")).count() == 0
