@@ -2,13 +2,16 @@
 
 A record is the set of its word shingles. Each of ``SWEEPS`` rehashes of a shingle falls into one of ``BUCKETS``
 buckets; a bucket keeps its least value, stored as the count of leading zeros and the next ``MANTISSA`` bits (two bytes).
-Bands of registers give candidate pairs, the collision-corrected share of equal registers estimates the similarity of
-each, and the pairs that may pass are verified on their shingle sets.
-
-Recall at similarity s is 1-(1-s**5)**90: 0.9993 at 0.6, 0.99999 at 0.65. Records of few shingles, whose buckets stay
-empty, are joined exactly instead, by the prefixes of their sorted shingles. Records with equal sets are one class; only
-one of them takes part. A band shared by very many classes is compared block by block, a prefix shared by very many is
-refined with a second one; neither loses a pair, so recall doesn't depend on how many records are alike.
+A bucket in which no shingle fell takes the value of another, found along a fixed random path (densification), so that
+sets of any size have all registers and two sets' registers are equal as often as their similarity says. Bands of
+registers give candidate pairs, the collision-corrected share of equal registers estimates the similarity of each, and
+the pairs that may pass are verified on their shingle sets.
+
+A band has ``ROWS`` registers, of different rehashes; there are as many bands as find a pair at the threshold with a
+probability of ``RECALL``: unrelated records of similarity 0.03 share a band of six with a probability of 1e-7. Records
+with equal sets are one class; only one of them takes part. Band keys that very many classes share are found on a sample
+beforehand, kept out of the shuffle and compared block by block, as are others that turn out common; no pair is lost, so
+recall doesn't depend on how many records are alike.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,20 +31,18 @@ from lorebase.llm.common import page_day
 from lorebase.operators.components import components
 from lorebase.plans.staging import stage
 
-SWEEPS, BUCKETS, MANTISSA = 15, 32, 10
-ROWS, BANDS = 5, 90  # registers in a band, bands
-EMPTY = 0xFFFF
-FEW = 160  # records of at most so many shingles are (also) joined exactly
-HOT = 256  # classes that may share a key before it is refined or compared in blocks
+SWEEPS, BUCKETS, MANTISSA = 8, 64, 10
+ROWS, RECALL = 6, 0.997
+HOT = 256  # classes that may share a key before their pairs are found block by block
 BLOCK = 512  # classes in a block
+SAMPLE = 32  # one class in so many is looked at for keys that very many share
 SURE = 1.0 / math.sqrt(4 * SWEEPS * BUCKETS) * 4.5  # 4.5 standard errors of the estimate at their widest
-WORDS = re.compile(r"[^\W_]+")
+WORDS = re.compile(r"[^\W_]+")  # what a word is; Shingler finds the same runs
 COPIES = 1000  # groups of exact copies up to this size are written as all their pairs
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_BITS = np.uint64(BUCKETS.bit_length() - 1)
 _SEEDS = (np.arange(1, SWEEPS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 _ROW = (np.arange(SWEEPS, dtype=np.int64) * BUCKETS)[:, None]
-# a band takes its registers from different sweeps, so that they are independent
-_BAND = np.array([[((j * 5 + r * 7 + b) % SWEEPS) * BUCKETS + (b * 11 + r * 13 + j) % BUCKETS for r in range(ROWS)] for b, j in ((b, b // SWEEPS) for b in range(BANDS))])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,58 +52,107 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct hashes of the ``k``-word shingles of a text; word hashes are remembered up to a bound."""
+    """Distinct hashes of the ``k``-word shingles of a text.
+
+    Words are the runs of letters and digits of the text in lower case. Each is hashed as a polynomial of its characters
+    modulo 2**64, from one running sum over the text.
+    """
 
-    def __init__(self, k: int, most: int = 400_000):
-        self.k, self.most, self.known = k, most, {}
+    _PRIME = 0x9E3779B97F4A7C55
+    _INVERSE = pow(_PRIME, -1, 1 << 64)
+
+    def __init__(self, k: int):
+        self.k = k
+        self.inside = np.zeros(0x110000, bool)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for m in WORDS.finditer(every):
+            first, last = ord(m.group()[0]), ord(m.group()[-1])
+            self.inside[first : last + 1] = True
+        self.inside[0xD800:0xE000] = False
+        self._powers(1 << 14)
+
+    def _powers(self, n: int) -> None:
+        one = np.ones(1, np.uint64)
+        with np.errstate(over="ignore"):
+            self.up = np.cumprod(np.concatenate([one, np.full(n, self._PRIME, np.uint64)]), dtype=np.uint64)
+            self.down = np.cumprod(np.concatenate([one, np.full(n, self._INVERSE, np.uint64)]), dtype=np.uint64)
+
+    def words(self, text: str) -> np.ndarray:
+        """A hash for each word, in order."""
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(codes) >= len(self.up):
+            self._powers(2 * len(codes))
+        inside = np.concatenate([[False], self.inside[codes], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes.astype(np.uint64) * self.up[: len(codes)], out=sums[1:])
+        return _mix((sums[end] - sums[first]) * self.down[first])
 
     def __call__(self, text: str) -> np.ndarray:
-        words = WORDS.findall(text.lower())
-        if len(words) < self.k:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        ids = self.words(text)
         n = len(ids) - self.k + 1
+        if n < 1:
+            return np.empty(0, np.uint64)
         h = np.zeros(n, np.uint64)
         for i in range(self.k):
             h = _mix(h + ids[i : i + n] + np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64))
         return np.unique(h)
 
 
+def _paths() -> np.ndarray:
+    """For each register the others in the order in which it looks for a value: 64 draws, then all in turn."""
+    n = SWEEPS * BUCKETS
+    at = np.arange(1, n + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    drawn = _mix(at + np.arange(1, 65, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(n)
+    return np.concatenate([drawn.astype(np.int64), (np.arange(n)[:, None] + np.arange(n)[None, :]) % n], 1)
+
+
+_PATHS = _paths()
+
+
 def registers(grams: np.ndarray) -> np.ndarray:
-    """The HyperMinHash registers of a set, uint16 of SWEEPS*BUCKETS; EMPTY where no element fell."""
-    least = np.full(SWEEPS * BUCKETS, np.iinfo(np.uint64).max, np.uint64)
-    if len(grams):
-        x = _mix(grams[None, :] ^ _SEEDS)
-        place = (x >> np.uint64(59)).astype(np.int64) + _ROW
-        np.minimum.at(least, place.ravel(), (x << np.uint64(5)).ravel() >> np.uint64(5))
-    empty = least == np.iinfo(np.uint64).max
-    value = np.where(empty, np.uint64(1), np.maximum(least, np.uint64(1)))
-    high = np.floor(np.log2(value.astype(np.float64))).astype(np.int64)  # 0..58; rounding up at 2**k - 1 is alike for equal values
-    high = np.where(value >> np.clip(high, 0, 63).astype(np.uint64) == 0, high - 1, high)
+    """The HyperMinHash registers of a set, uint16 of SWEEPS*BUCKETS; of the empty set all 0."""
+    if not len(grams):
+        return np.zeros(SWEEPS * BUCKETS, np.uint16)
+    most = np.iinfo(np.uint64).max
+    least = np.full(SWEEPS * BUCKETS, most, np.uint64)
+    x = _mix(grams[None, :] ^ _SEEDS)
+    place = (x >> np.uint64(64 - int(_BITS))).astype(np.int64) + _ROW
+    np.minimum.at(least, place.ravel(), (x << _BITS).ravel() >> _BITS)
+    empty = np.flatnonzero(least == most)
+    if len(empty):
+        full, rest = least != most, empty
+        for step in range(_PATHS.shape[1]):
+            if not len(rest):
+                break
+            source = _PATHS[rest, step]
+            ok = full[source]
+            least[rest[ok]] = least[source[ok]]
+            rest = rest[~ok]
+    value = np.maximum(least, np.uint64(1))
+    high = np.floor(np.log2(value.astype(np.float64))).astype(np.int64)
+    high = np.where(value >> np.clip(high, 0, 63).astype(np.uint64) == 0, high - 1, high)  # rounded up
     shift = high - MANTISSA
     bits = np.where(shift >= 0, value >> np.maximum(shift, 0).astype(np.uint64), value << np.maximum(-shift, 0).astype(np.uint64))
-    out = ((58 - high).astype(np.uint64) << np.uint64(MANTISSA)) | (bits & np.uint64((1 << MANTISSA) - 1))
-    return np.where(empty, np.uint64(EMPTY), out).astype(np.uint16)
+    return (((63 - int(_BITS) - high).astype(np.uint64) << np.uint64(MANTISSA)) | (bits & np.uint64((1 << MANTISSA) - 1))).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; 0 for a band with two or more empty registers."""
-    rows = regs[_BAND].astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for r in range(ROWS):
-        key = _mix(key ^ rows[:, r])
-    return np.where((rows == EMPTY).sum(1) >= 2, np.uint64(0), key | np.uint64(1))
+def bands(least: float) -> np.ndarray:
+    """The registers of each band (bands, ROWS): enough bands for pairs of similarity ``least``, their registers from
+    different rehashes."""
+    count = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - min(least, 0.999999) ** ROWS)))
+    rng = np.random.default_rng(5)
+    return np.array([[sweep * BUCKETS + rng.integers(BUCKETS) for sweep in rng.permutation(SWEEPS)[:ROWS]] for _ in range(count)])
 
 
-def prefix_keys(grams: np.ndarray, least: float, shared: int = 1) -> np.ndarray:
-    """Sets whose similarity is at least ``least`` share ``shared`` of these: their first shingles in the order of the hash."""
-    n = len(grams)
-    return grams[: n - math.ceil(least * n) + shared]
+def band_keys(regs: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band, of one set's registers or of each row of several."""
+    rows = regs[..., band].astype(np.uint64)
+    key = np.arange(1, len(band) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.zeros(rows.shape[:-1], np.uint64)
+    for r in range(ROWS):
+        key = _mix(key ^ rows[..., r])
+    return key
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -112,8 +162,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     a probability of about 0.72 * 2**-MANTISSA * xy/(x+y)**2 (exponential least values, mean cell width 0.72 of a
     value's 2**-MANTISSA).
     """
-    used = (a != EMPTY) | (b != EMPTY)
-    share = ((a == b) & used).sum(1) / np.maximum(used.sum(1), 1)
+    share = (a == b).mean(1)
     x, y = n_a / BUCKETS, n_b / BUCKETS
     chance = 0.72 * 2.0**-MANTISSA * x * y / np.maximum((x + y) ** 2, 1e-9)
     return np.clip((share - chance) / (1 - chance), 0, 1)
@@ -124,113 +173,122 @@ def _signatures(k: int):
         shingler = Shingler(k)
         for batch in batches:
             grams = [shingler(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "key": batch["key"],
-                    "rank": batch["rank"],
-                    "digest": batch["digest"],
-                    "cls": [xxhash.xxh128_digest(g.tobytes()) for g in grams],
-                    "n": [len(g) for g in grams],
-                    "regs": [registers(g).tobytes() for g in grams],
-                    "few": [g.tobytes() if 0 < len(g) <= FEW else None for g in grams],
-                }
-            )
+            yield pd.DataFrame({"key": batch["key"], "rank": batch["rank"], "digest": batch["digest"], "cls": [xxhash.xxh128_digest(g.tobytes()) for g in grams], "n": [len(g) for g in grams], "regs": [registers(g).tobytes() for g in grams]})
 
     return run
 
 
 def sketches(records: DataFrame, k: int) -> DataFrame:
-    """``key, rank, digest, cls, n, regs, few`` of records ``key, rank, text``; of a key only the row of highest rank."""
+    """``key, rank, digest, cls, n, regs`` of records ``key, rank, text``, staged."""
     rows = records.select("key", "rank", "text", F.xxhash64("text").alias("digest"))
-    made = rows.mapInPandas(_signatures(k), "key string, rank string, digest long, cls binary, n int, regs binary, few binary")
-    return made.groupBy("key").agg(F.max(F.struct("rank", "digest", "cls", "n", "regs", "few")).alias("s")).select("key", "s.*")
+    return stage(rows.mapInPandas(_signatures(k), "key string, rank string, digest long, cls binary, n int, regs binary"), "sketches")
 
 
-def _keys(least: float, refine: bool = False):
-    """Keys of classes, those of bands odd, those of prefixes even; with ``refine``, for each too common prefix key of a
-    class (``hot``) that key with each other one."""
+def _keys(least: float):
+    band = bands(least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, keys = [], []
-            for i, (rep, n, regs, few) in enumerate(zip(batch["rep"], batch["n"], batch["regs"], batch["few"])):
-                own = []
-                if n > FEW * least and not refine:
-                    own.append(band_keys(np.frombuffer(regs, np.uint16)))
-                if few is not None:  # sets that share a hot element of their prefixes share another of the prefixes one longer
-                    own.append(prefix_keys(np.frombuffer(few, np.uint64), least, 2 if refine else 1) & ~np.uint64(1))
-                if not own:
-                    continue
-                found = np.concatenate(own)
-                found = np.unique(found[found != 0])
-                if refine:
-                    base = np.uint64(int(batch["hot"].iloc[i]) & 0xFFFFFFFFFFFFFFFF)
-                    found = _mix(found[found != base] ^ _mix(np.array([base]))[0])
-                keys.append(found.view(np.int64))
-                ids.append(np.repeat(np.array([rep], object), len(found)))
-            yield pd.DataFrame({"k": np.concatenate(keys) if keys else np.empty(0, np.int64), "rep": np.concatenate(ids) if ids else np.empty(0, object)})
+            regs = np.frombuffer(b"".join(batch["regs"]), np.uint16).reshape(len(batch), -1)
+            yield pd.DataFrame({"k": band_keys(regs, band).view(np.int64).ravel(), "no": np.repeat(batch["no"].to_numpy(), len(band))})
 
     return run
 
 
-def _shared(keys: DataFrame, label: str) -> DataFrame:
-    """The keys that several classes have, each row with the number of those classes; most keys are of one class."""
-    return stage(keys.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("c > 1"), label)
-
-
-def _pairs_in(keys: DataFrame) -> DataFrame:
-    """Pairs of classes of keys that at most HOT classes share."""
-    groups = keys.groupBy("k").agg(F.array_sort(F.collect_list("rep")).alias("g"))
-    later = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return groups.select(F.explode(later).alias("p")).select("p.a", "p.b")
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows ``k, no`` sorted by k: the pairs ``a, b`` of each key that at most HOT classes share; the rows of a key
+    that more share come out as ``k, a`` without b. No more than HOT rows of a key are held at a time."""
+    held_k, held, over = None, np.empty(0, np.int64), False
+
+    def flush(k: int, nos: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if over:
+            return [(np.full(len(nos), k), nos, np.full(len(nos), -1))]
+        if len(nos) < 2:
+            return []
+        i, j = np.triu_indices(len(nos), 1)
+        nos = np.sort(nos)
+        return [(np.full(len(i), k), nos[i], nos[j])]
+
+    def frame(found: list) -> pd.DataFrame:
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("k", "a", "b"), parts)))
+
+    for batch in batches:
+        k, no = batch["k"].to_numpy(), batch["no"].to_numpy()
+        if not len(k):
+            continue
+        found = []
+        starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        sizes = np.diff(starts)
+        several = np.flatnonzero(sizes > 1)
+        for i in sorted({0, len(sizes) - 1, *several.tolist()}):
+            key, part = int(k[starts[i]]), no[starts[i] : starts[i + 1]]
+            if key != held_k:
+                if held_k is not None:
+                    found += flush(held_k, held)
+                held_k, held, over = key, part, False
+            else:
+                held = np.concatenate([held, part])
+            if len(held) > HOT:
+                over = True
+            if over:
+                found += flush(held_k, held)
+                held = np.empty(0, np.int64)
+        yield frame(found)
+    if held_k is not None:
+        yield frame(flush(held_k, held))
 
 
 def _block_pairs(hot: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs of the classes of each too common band key (``rep, k, c``) that the estimate lets pass.
+    """Pairs of the classes of each too common key (``k, no, c``) that the estimate lets pass.
 
     The classes of a key are cut into blocks and each pair of blocks is one task's work. A pair comes from the first band
-    it shares only; pairs of sets of at most FEW shingles are left to their prefixes.
+    it shares only.
     """
     blocks = F.ceil(F.col("c") / BLOCK)
-    rows = hot.join(classes.select("rep", "n", "regs"), "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    rows = hot.join(classes.select("no", "n", "regs"), "no").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("no"), "blocks"))
     spread = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("k", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "rep", "n", "regs")
+    spread = spread.select("k", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "no", "n", "regs")
+    band = bands(least)
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, k = pdf["x"].iloc[0], pdf["y"].iloc[0], np.uint64(int(pdf["k"].iloc[0]) & 0xFFFFFFFFFFFFFFFF)
         regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1)
-        bands = np.array([band_keys(r) for r in regs])
-        rep, n, block = pdf["rep"].to_numpy(), pdf["n"].to_numpy(float), pdf["block"].to_numpy()
+        keys = band_keys(regs, band)
+        no, n, block = pdf["no"].to_numpy(), pdf["n"].to_numpy(float), pdf["block"].to_numpy()
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        out: dict[str, list] = {"a": [], "b": []}
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for at, i in enumerate(left):
             others = right[at + 1 :] if x == y else right
-            small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-            others = others[(small >= least * large) & (large > FEW)]
-            common = (bands[others] == bands[i]) & (bands[i] != 0)
-            others = others[bands[i][common.argmax(1)] == k]
-            if len(others):
-                for j in others[estimate(regs[i][None], regs[others], n[i], n[others]) >= least - SURE]:
-                    out["a"].append(min(rep[i], rep[j])), out["b"].append(max(rep[i], rep[j]))
-        return pd.DataFrame(out, dtype=object)
+            others = others[np.minimum(n[others], n[i]) >= least * np.maximum(n[others], n[i])]
+            others = others[keys[i][(keys[others] == keys[i]).argmax(1)] == k]
+            others = others[estimate(regs[i][None], regs[others], n[i], n[others]) >= least - SURE]
+            out.append((np.minimum(no[i], no[others]), np.maximum(no[i], no[others])))
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip("ab", zip(*out))})
 
-    return spread.groupBy("k", "x", "y").applyInPandas(product, "a string, b string")
+    return spread.groupBy("k", "x", "y").applyInPandas(product, "a long, b long")
 
 
 def class_candidates(classes: DataFrame, least: float) -> DataFrame:
-    """Distinct candidate pairs ``a < b`` of classes (``rep, n, regs, few``)."""
-    shared = _shared(classes.mapInPandas(_keys(least), "k long, rep string"), "shared-keys")
-    pairs = _pairs_in(shared.where(F.col("c") <= HOT))
-    hot, band = shared.where(F.col("c") > HOT), F.col("k").bitwiseAND(F.lit(1)) == 1
-    if not hot.where(band).isEmpty():
-        pairs = pairs.unionByName(_block_pairs(hot.where(band), classes, least))
-    if not hot.where(~band).isEmpty():
-        prefixes = hot.where(~band).select("rep", F.col("k").alias("hot"))
-        finer = _shared(prefixes.join(classes, "rep").mapInPandas(_keys(least, True), "k long, rep string").distinct(), "finer-keys")
-        a, b = finer.where(F.col("c") > HOT).alias("a"), finer.where(F.col("c") > HOT).alias("b")
-        # classes that agree on two keys mostly are results; a join, so that a large key can be split
-        large = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        pairs = pairs.unionByName(_pairs_in(finer.where(F.col("c") <= HOT))).unionByName(large)
+    """Distinct candidate pairs ``a < b`` of classes (``no, n, regs``)."""
+    make = _keys(least)
+    keys = lambda some: some.select("no", "regs").mapInPandas(make, "k long, no long")
+    # the keys of a sample tell which keys far more than HOT classes share; others are met one by one below
+    sample = keys(classes.where(F.pmod(F.xxhash64("no"), F.lit(SAMPLE)) == 0)).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    known = stage(sample.where(F.col("c") > HOT / 8).select("k"), "hot-keys")
+    every, hot = keys(classes), None
+    if not known.isEmpty():
+        hot = every.join(known, "k", "left_semi")
+        every = every.join(known, "k", "left_anti")
+    runs = stage(every.repartition("k").sortWithinPartitions("k").mapInPandas(_runs, "k long, a long, b long"), "key-runs")
+    pairs = runs.where("b >= 0").select("a", "b")
+    met = runs.where("b < 0").select("k", F.col("a").alias("no"))
+    if not met.isEmpty():
+        hot = met if hot is None else hot.unionByName(met)
+    if hot is not None:
+        hot = stage(hot, "common-keys")
+        counted = hot.join(hot.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "k")
+        pairs = pairs.unionByName(_block_pairs(counted, classes, least))
     return pairs.distinct()
 
 
@@ -253,31 +311,29 @@ def _exact(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def similar_classes(records: DataFrame, made: DataFrame, k: int, least: float) -> DataFrame:
-    """``a, b, similarity``: verified pairs of class representatives. ``made``: the staged sketches of ``records``."""
-    classes = made.where("n > 0").groupBy("cls").agg(F.min(F.struct("key", "rank", "digest", "n", "regs", "few")).alias("s")).select(F.col("s.key").alias("rep"), "s.rank", "s.digest", "s.n", "s.regs", "s.few")
-    classes = stage(classes, "classes")
-    pairs = class_candidates(classes.select("rep", "n", "regs", "few"), least)
-    side = classes.select("rep", "n", "regs")
+def similar_classes(records: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
+    """``a, b, similarity``: verified pairs of class ids, staged. ``classes``: ``no, class_id, rank, digest, n, regs``."""
+    pairs = class_candidates(classes.select("no", "n", "regs"), least)
+    side = classes.select("no", "n", "regs")
     both = pairs.join(side.toDF("a", "n_a", "regs_a"), "a").join(side.toDF("b", "n_b", "regs_b"), "b")
     both = both.where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-    small = (F.col("n_a") <= FEW) & (F.col("n_b") <= FEW)
-    likely = both.where(small | (_estimated("regs_a", "regs_b", "n_a", "n_b") >= least - SURE)).select("a", "b")
-    likely = stage(likely, "likely")
+    likely = stage(both.where(_estimated("regs_a", "regs_b", "n_a", "n_b") >= least - SURE).select("a", "b"), "likely")
 
     # the shingle sets of the classes that are left, made again from their texts
-    ends = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    chosen = ends.join(classes.select("rep", "rank", "digest"), "rep")
-    texts = records.withColumn("digest", F.xxhash64("text")).join(chosen.withColumnRenamed("rep", "key"), ["key", "rank", "digest"], "left_semi")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    chosen = classes.select("no", F.col("class_id").alias("key"), "rank", "digest").join(ends, "no", "left_semi")
+    texts = records.withColumn("digest", F.xxhash64("text")).join(chosen, ["key", "rank", "digest"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["key"], "grams": [shingler(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"no": batch["no"], "id": batch["key"], "grams": [shingler(t).tobytes() for t in batch["text"]]})
 
-    grams = stage(texts.select("key", "text").dropDuplicates(["key"]).mapInPandas(sets, "rep string, grams binary"), "sets")
-    joined = likely.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b")
-    return joined.select("a", "b", _exact("grams_a", "grams_b").alias("similarity")).where(F.col("similarity") >= least)
+    made = texts.select("no", "key", "text").dropDuplicates(["no"]).mapInPandas(sets, "no long, id string, grams binary")
+    grams = stage(made, "sets")
+    joined = likely.join(grams.toDF("a", "id_a", "grams_a"), "a").join(grams.toDF("b", "id_b", "grams_b"), "b")
+    found = joined.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), _exact("grams_a", "grams_b").alias("similarity"))
+    return stage(found.where(F.col("similarity") >= least), "similar")
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -296,10 +352,16 @@ def near_duplicates(records: DataFrame, k: int = 5, least: float = 0.8) -> tuple
     count as empty. Word runs are letters and digits in lower case.
     """
     records = records.select("key", "rank", F.coalesce("text", F.lit("")).alias("text"))
-    made = stage(sketches(records, k), "sketches")
-    names = made.where("n > 0").groupBy("cls").agg(F.min("key").alias("class_id"))
-    members = made.where("n > 0").select("key", "cls").join(names, "cls").select("key", "class_id").unionByName(made.where("n = 0").select("key", F.col("key").alias("class_id")))
-    return members, similar_classes(records, made, k, least)
+    made = sketches(records, k)
+    current = made.groupBy("key").agg(F.max(F.struct("rank", "digest", "cls", "n")).alias("s")).select("key", "s.*")
+    current = stage(current, "current")
+    names = current.where("n > 0").groupBy("cls").agg(F.min(F.struct("key", "rank", "digest")).alias("s")).select("cls", "s.*")
+    members = current.where("n > 0").select("key", "cls").join(names.select("cls", F.col("key").alias("class_id")), "cls").select("key", "class_id")
+    members = stage(members.unionByName(current.where("n = 0").select("key", F.col("key").alias("class_id"))), "members")
+    chosen = made.select("key", "rank", "digest", "n", "regs").join(names.select("key", "rank", "digest"), ["key", "rank", "digest"], "left_semi")
+    classes = chosen.groupBy("key").agg(F.max(F.struct("rank", "digest", "n", "regs")).alias("s")).select(F.col("key").alias("class_id"), "s.*")
+    classes = stage(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
+    return members, similar_classes(records, classes, k, least)
 
 
 def member_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
