@@ -1,17 +1,20 @@
 """Rebuilding conversations from message rows.
 
-Rows are sessionized by a channel (a session id or any other column): sorted by instant, optionally split at an
+Rows are sessionized by a channel (a session id, participants, any expression): sorted by instant, optionally split at an
 inactivity gap calibrated on the data, given speakers, and kept only if every user turn is answered. Ordering is a
 range partitioning by (channel, instant, event), so one channel that holds a third of all rows is spread over many
-tasks; what crosses a partition border is settled on one summary row per channel and partition.
+tasks; what crosses a partition border is settled on one summary row per channel (or conversation) and partition.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.operators.ranking import FRAGMENT, MARK, ordered_fragments
+from lorebase.plans.staging import stage
 
 BLOCKS = "array<struct<type:string,text:string>>"
 VISIBLE_BLOCKS = ("text", "input_text", "output_text")
@@ -36,11 +39,14 @@ def speaker(kind: Column, role: Column) -> Column:
     return F.when(named.isin("user", "assistant"), named)
 
 
-def parsed_events(events: DataFrame, channel: str) -> DataFrame:
-    """channel, event_id, speaker, at, mark (digest of the content), visible, broken: one row per event_id."""
+def parsed_events(events: DataFrame, channel: Column) -> DataFrame:
+    """channel, event_id, speaker, at, h1, h2 (digests of the content), visible, broken: one row per event_id.
+
+    Of several deliveries of an event the greatest channel counts, so one without a channel gives way to one with it.
+    """
     content = F.coalesce(F.col("content"), F.lit(""))
-    said = events.select(F.col(channel).cast("string").alias("channel"), F.col("event_id"), speaker(F.col("type"), F.col("role")).alias("speaker"), instant(F.col("timestamp")).alias("at"), content.alias("content"))
-    said = said.where(F.col("channel").isNotNull() & F.col("speaker").isNotNull() & F.col("event_id").isNotNull())
+    said = events.select(channel.cast("string").alias("channel"), F.col("event_id"), speaker(F.col("type"), F.col("role")).alias("speaker"), instant(F.col("timestamp")).alias("at"), content.alias("content"))
+    said = said.where(F.col("speaker").isNotNull() & F.col("event_id").isNotNull())
     array = F.col("content").startswith("[{")
     # a JSON value that ends before the text does is no array of blocks either
     sound = F.try_parse_json(F.col("content")).isNotNull() & F.rtrim(F.col("content")).endswith("]")
@@ -54,56 +60,95 @@ def parsed_events(events: DataFrame, channel: str) -> DataFrame:
     said = said.withColumn("_bare", bare).withColumn("_closing", closing)
     visible = (F.col("_bare") != "") & ~F.coalesce(element, F.lit(False))
     said = said.select("channel", "event_id", "speaker", "at", F.xxhash64("content").alias("h1"), F.hash("content").alias("h2"), visible.alias("visible"), "broken")
-    one = F.min(F.struct("channel", "speaker", "at", "h1", "h2", "visible", "broken"))
-    return said.groupBy("event_id").agg(one.alias("_e")).select("event_id", "_e.*")
+    one = F.min(F.struct("speaker", "at", "h1", "h2", "visible", "broken"))
+    return said.groupBy("event_id").agg(F.max("channel").alias("channel"), one.alias("_e")).select("event_id", "channel", "_e.*").where("channel IS NOT NULL")
+
+
+BINS = 120  # quarters of a doubling, from a second on
 
 
-def calibrated_gap(rows: DataFrame, quantile: float = 0.99, least_s: int = 1800) -> int:
-    """Seconds of silence that end a conversation: the quantile of all gaps between a channel's neighbouring rows.
+def valley(counts: dict[int, int], least_bin: int) -> int | None:
+    """The bin between the main mode of a histogram and the most prominent later one from ``least_bin`` on.
 
-    One aggregate comes to the driver. An empty input gives ``least_s``.
+    Counts are smoothed over three bins. The later mode must rise by half of its height over the lowest bin between;
+    the middle of the lowest bins is taken. None: there is no such mode.
     """
-    w = Window.partitionBy("channel", FRAGMENT).orderBy(MARK)
-    gaps = rows.select(((F.col("at") - F.lag("at").over(w)) / 1e6).alias("gap")).where("gap > 0")
-    found = gaps.agg(F.percentile_approx("gap", quantile, 1000).alias("q")).first()["q"]
-    return int(max(least_s, found or 0))
+    at = lambda b: counts.get(b, 0)
+    smooth = [at(b - 1) + 2 * at(b) + at(b + 1) for b in range(BINS)]
+    top = max(range(BINS), key=lambda b: (smooth[b], -b))
+    best = None
+    for b in range(max(top + 2, least_bin), BINS):
+        low = min(smooth[top + 1 : b])
+        if smooth[b] and 2 * (smooth[b] - low) >= smooth[b] and (best is None or smooth[b] - low > best[0]):
+            lowest = [i for i in range(top + 1, b) if smooth[i] == low]
+            best = (smooth[b] - low, (lowest[0] + lowest[-1]) // 2)
+    return best and best[1]
+
+
+def calibrated_gap(rows: DataFrame, least_s: int = 1800) -> int | None:
+    """Seconds of silence that end a conversation: where the histogram of the logarithms of all silences between a
+    channel's neighbouring rows has its valley between turns and pauses; ``least_s`` at least. None: there are no pauses.
+
+    ``rows``: ordered fragments. Silences across the borders of fragments count. At most BINS rows come to the driver.
+    """
+    inside = Window.partitionBy("channel", FRAGMENT).orderBy(MARK)
+    within = rows.where("at >= 0").select((F.col("at") - F.lag("at").over(inside)).alias("gap"))
+    ends = rows.where("at >= 0").groupBy("channel", FRAGMENT).agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    across = ends.select((F.col("a") - F.lag("b").over(Window.partitionBy("channel").orderBy(FRAGMENT))).alias("gap"))
+    # half a microsecond more, so that no silence lies on the border of two bins
+    bins = F.floor(4 * F.log2((F.col("gap") + 0.5) / 1e6)).cast("int")
+    counted = within.unionByName(across).where("gap >= 1000000").groupBy(F.least(bins, F.lit(BINS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    found = valley({r["b"]: r["n"] for r in counted.collect()}, int(4 * math.log2(max(1, least_s))))
+    return None if found is None else max(least_s, int(2 ** (found / 4)))
 
 
-def rebuild(events: DataFrame, channel: str = "session_id", split: bool = False, quantile: float = 0.99) -> DataFrame:
+def rebuild(events: DataFrame, channel: str | Column = "session_id", split: bool = False, least_s: int = 1800) -> DataFrame:
     """Kept conversations as rows ``channel, segment, pos, event_id, speaker, at``.
 
     ``split=False``: a channel is one conversation (segment 0). ``split=True``: it is cut where the silence exceeds the
-    calibrated gap. Dropped: conversations without a message, not begun by the user, with a user message that no
-    assistant message follows directly, with a damaged block array, or with a message of unknown time. Rows without a
-    channel belong to none; repeated deliveries count once; equal messages (speaker, instant, content) are the one of
-    the smallest event_id; equal instants are ordered by event_id. Null content is blank; rows without an event_id
-    are left out. An empty table gives no rows.
+    calibrated gap (``least_s`` at least). Dropped: conversations without a message, not begun by the user, with a user
+    message that no assistant message follows directly, with a damaged block array, or with a message of unknown time;
+    if channels are split, such a message could belong to any conversation of its channel, and all of them go. Rows
+    without a channel belong to none; repeated deliveries count once; equal messages (speaker, instant, content) are the
+    one of the smallest event_id; equal instants are ordered by event_id. Null content is blank; rows without an
+    event_id are left out. An empty table gives no rows.
     """
-    parsed = parsed_events(events, channel).where("visible OR broken")
+    parsed = parsed_events(events, F.col(channel) if isinstance(channel, str) else channel).where("visible OR broken")
     bad = F.col("broken") | F.col("at").isNull()
     once = parsed.groupBy("channel", "speaker", F.coalesce("at", F.lit(-1)).alias("at"), "h1", "h2", bad.alias("bad")).agg(F.min("event_id").alias("event_id")).drop("h1", "h2")
-    rows = ordered_fragments(once.where(F.col("channel").isNotNull()), ["channel"], ["at", "event_id"], "messages")
-    gap = F.lit(calibrated_gap(rows, quantile) * 1_000_000) if split else None
-
+    # written before the range partitioning, which looks at its input twice
+    rows = ordered_fragments(stage(once, "parsed"), ["channel"], ["at", "event_id"], "messages")
     inside = Window.partitionBy("channel", FRAGMENT).orderBy(MARK)
-    cut = F.when(F.col("at") - F.lag("at").over(inside) > gap, 1).otherwise(0) if split else F.lit(0)
-    rows = rows.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)) if split else F.lit(0))
-    asks = F.col("speaker") == "user"
-    piece_w = Window.partitionBy("channel", FRAGMENT, "_part").orderBy(MARK)
-    rows = rows.withColumn("_open", asks & (F.lead("speaker").over(piece_w) == "user"))
-    pieces = rows.groupBy("channel", FRAGMENT, "_part").agg(
-        F.count(F.lit(1)).alias("n"), F.min(MARK).alias("first_mark"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+    gap = calibrated_gap(rows, least_s) if split else None
+    if gap is None:
+        rows = rows.withColumn("segment", F.lit(0).cast("long"))
+    else:
+        far = lambda later, earlier: F.coalesce((later - earlier > gap * 1_000_000).cast("int"), F.lit(0))
+        rows = rows.withColumn("_cut", far(F.col("at"), F.lag("at").over(inside))).withColumn("_part", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        along = Window.partitionBy("channel").orderBy(FRAGMENT)  # a row per range partition that the channel reaches
+        ends = rows.groupBy("channel", FRAGMENT).agg(F.min("at").alias("a"), F.max("at").alias("b"), F.sum("_cut").alias("cuts"))
+        ends = ends.withColumn("_new", far(F.col("a"), F.lag("b").over(along)) + F.coalesce(F.lag("cuts").over(along), F.lit(0)))
+        base = ends.select("channel", FRAGMENT, F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"))
+        rows = rows.join(base, ["channel", FRAGMENT]).withColumn("segment", F.col("_base") + F.col("_part")).drop("_cut", "_part", "_base")
+    talk = ["channel", "segment"]
+    follows = F.lead("speaker").over(Window.partitionBy(*talk, FRAGMENT).orderBy(MARK))
+    rows = rows.withColumn("_open", (F.col("speaker") == "user") & (follows == "user"))
+    pieces = rows.groupBy(*talk, FRAGMENT).agg(
+        F.count(F.lit(1)).alias("n"), F.min(MARK).alias("first_mark"),
         F.min(F.struct(MARK, "speaker"))["speaker"].alias("opens"), F.max(F.struct(MARK, "speaker"))["speaker"].alias("ends"),
         (F.max("bad") | F.coalesce(F.max("_open"), F.lit(False))).alias("bad"),
     )
-    along = Window.partitionBy("channel").orderBy(FRAGMENT, "_part")
-    fresh = F.when(F.lag("n").over(along).isNull(), 0).when(F.col("_part") > 0, 1).when(F.col("first_at") - F.lag("last_at").over(along) > gap, 1).otherwise(0) if split else F.lit(0)
-    pieces = pieces.withColumn("_fresh", fresh).withColumn("segment", F.sum("_fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)) if split else F.lit(0))
-    talk = Window.partitionBy("channel", "segment").orderBy(FRAGMENT, "_part")
-    whole = Window.partitionBy("channel", "segment")
-    follows = F.lead("opens").over(talk)
-    pieces = pieces.withColumn("_bad", F.col("bad") | ((F.col("ends") == "user") & F.coalesce(follows == "user", F.lit(True))) | (F.lag("n").over(talk).isNull() & (F.col("opens") != "user")))
-    pieces = pieces.withColumn("_drop", F.max("_bad").over(whole)).withColumn("before", F.coalesce(F.sum("n").over(talk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    kept = pieces.where("NOT _drop").select("channel", FRAGMENT, "_part", "segment", "first_mark", "before")
+    along = Window.partitionBy(*talk).orderBy(FRAGMENT)  # a row per range partition that the conversation reaches
+    unanswered = (F.col("ends") == "user") & F.coalesce(F.lead("opens").over(along) == "user", F.lit(True))
+    pieces = pieces.withColumn("_bad", F.col("bad") | unanswered | (F.lag("n").over(along).isNull() & (F.col("opens") != "user")))
+    pieces = pieces.withColumn("_drop", F.max("_bad").over(Window.partitionBy(*talk))).withColumn("before", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = pieces.where("NOT _drop").select(*talk, FRAGMENT, "first_mark", "before")
+    if gap is not None:
+        kept = kept.join(rows.where("at < 0").select("channel").distinct(), "channel", "left_anti")
     pos = F.col(MARK) - F.col("first_mark") + F.col("before") + 1
-    return rows.join(kept, ["channel", FRAGMENT, "_part"]).select("channel", F.col("segment").cast("int").alias("segment"), pos.alias("pos"), "event_id", "speaker", "at")
+    return rows.join(kept, [*talk, FRAGMENT]).select("channel", F.col("segment").cast("int").alias("segment"), pos.alias("pos"), "event_id", "speaker", "at")
+
+
+def participants() -> Column:
+    """The channel of a row: its session, or the working directory where it names none."""
+    return F.coalesce(F.concat(F.lit("session "), F.col("session_id")), F.concat(F.lit("folder "), F.col("cwd")))

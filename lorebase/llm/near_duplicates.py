@@ -97,7 +97,8 @@ class Shingler:
         h = np.zeros(n, np.uint64)
         for i in range(self.k):
             h = _mix(h + ids[i : i + n] + np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        return np.unique(h)
+        h.sort()
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _paths() -> np.ndarray:
@@ -313,16 +314,20 @@ def _exact(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def similar_classes(records: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
     """``a, b, similarity``: verified pairs of class ids, staged. ``classes``: ``no, class_id, rank, digest, n, regs``."""
-    pairs = class_candidates(classes.select("no", "n", "regs"), least)
-    side = classes.select("no", "n", "regs")
+    # each step first keeps the few rows that the last one left: by a table that was written, so that the planner knows its
+    # size, broadcasts it if it is small and joins it by a shuffle if not
+    pairs = stage(class_candidates(classes.select("no", "n", "regs"), least), "candidates")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    side = classes.select("no", "n", "regs").join(stage(met, "candidate-classes"), "no", "left_semi")
     both = pairs.join(side.toDF("a", "n_a", "regs_a"), "a").join(side.toDF("b", "n_b", "regs_b"), "b")
     both = both.where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
     likely = stage(both.where(_estimated("regs_a", "regs_b", "n_a", "n_b") >= least - SURE).select("a", "b"), "likely")
 
     # the shingle sets of the classes that are left, made again from their texts
-    ends = likely.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    ends = stage(likely.select(F.explode(F.array("a", "b")).alias("no")).distinct(), "likely-classes")
     chosen = classes.select("no", F.col("class_id").alias("key"), "rank", "digest").join(ends, "no", "left_semi")
-    texts = records.withColumn("digest", F.xxhash64("text")).join(chosen, ["key", "rank", "digest"])
+    wanted = stage(chosen.select("digest").distinct(), "digests")
+    texts = records.withColumn("digest", F.xxhash64("text")).join(wanted, "digest", "left_semi").join(chosen, ["key", "rank", "digest"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
@@ -358,7 +363,7 @@ def near_duplicates(records: DataFrame, k: int = 5, least: float = 0.8) -> tuple
     names = current.where("n > 0").groupBy("cls").agg(F.min(F.struct("key", "rank", "digest")).alias("s")).select("cls", "s.*")
     members = current.where("n > 0").select("key", "cls").join(names.select("cls", F.col("key").alias("class_id")), "cls").select("key", "class_id")
     members = stage(members.unionByName(current.where("n = 0").select("key", F.col("key").alias("class_id"))), "members")
-    chosen = made.select("key", "rank", "digest", "n", "regs").join(names.select("key", "rank", "digest"), ["key", "rank", "digest"], "left_semi")
+    chosen = made.select("key", "rank", "digest", "n", "regs").join(names.select("key", F.col("rank").alias("_r"), F.col("digest").alias("_d")), "key").where("rank = _r AND digest = _d")
     classes = chosen.groupBy("key").agg(F.max(F.struct("rank", "digest", "n", "regs")).alias("s")).select(F.col("key").alias("class_id"), "s.*")
     classes = stage(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
     return members, similar_classes(records, classes, k, least)

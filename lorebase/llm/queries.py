@@ -46,8 +46,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_channels(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations per working directory, cut at the calibrated silence."""
-    return conversations.rebuild(table(spark, folder, "session_events"), "cwd", split=True).select(F.col("channel").alias("cwd"), "segment", "pos", "event_id", "speaker")
+    """Conversations per session, of rows without one per working directory, cut at the calibrated silence."""
+    talks = conversations.rebuild(table(spark, folder, "session_events"), conversations.participants(), split=True)
+    return talks.select("channel", "segment", "pos", "event_id", "speaker")
 
 
 def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +137,28 @@ pos AS (SELECT *, row_number() OVER w AS pos, lead(who) OVER w AS nxt FROM msg W
 keep AS (SELECT session_id FROM pos GROUP BY 1 HAVING bool_and(CASE WHEN who = 'user' THEN coalesce(nxt = 'assistant', false) ELSE true END) AND min_by(who, pos) = 'user')
 SELECT session_id, pos, event_id FROM pos WHERE session_id IN (SELECT session_id FROM keep)"""
 
+_SEGMENTS = r"""WITH ev AS (SELECT DISTINCT ON (event_id) event_id, ch, content, CASE WHEN lower(trim(type)) = 'message' THEN lower(trim(role)) ELSE lower(trim(type)) END AS who,
+    CASE WHEN regexp_matches(trim(timestamp), '^\d{11,14}$') THEN trim(timestamp)::BIGINT * 1000 ELSE epoch_us(try_cast(timestamp AS TIMESTAMPTZ)) END AS ats
+    FROM (SELECT *, max(coalesce('session ' || session_id, 'folder ' || cwd)) OVER (PARTITION BY event_id) AS ch FROM session_events) WHERE ch IS NOT NULL AND event_id IS NOT NULL ORDER BY event_id),
+ok AS (SELECT *, coalesce(content, '') AS c, starts_with(coalesce(content, ''), '[{') AND NOT json_valid(content) AS broken FROM ev WHERE who IN ('user', 'assistant')),
+txt AS (SELECT *, regexp_replace(CASE WHEN starts_with(c, '[{') AND NOT broken THEN coalesce(array_to_string(list_transform(list_filter(from_json(c, '["JSON"]'), lambda b: b->>'type' IN ('text', 'input_text', 'output_text')), lambda b: coalesce(b->>'text', '')), chr(10)), '') WHEN broken THEN '' ELSE c END, '^\s+|\s+$', '', 'g') AS shown FROM ok),
+vis AS (SELECT *, regexp_extract(shown, '^<([A-Za-z_][\w.:-]*)[^<>]*>', 1) AS tag FROM txt),
+msg AS (SELECT ch, who, coalesce(ats, -1) AS ats, c, broken OR ats IS NULL AS bad, min(event_id) AS event_id FROM vis WHERE broken OR shown <> '' AND NOT (tag <> '' AND ends_with(shown, '</' || tag || '>') AND strpos(shown, '</' || tag || '>') + length(tag) + 2 = length(shown)) GROUP BY 1, 2, 3, 4, 5),
+gap AS (SELECT ats - lag(ats) OVER (PARTITION BY ch ORDER BY ats, event_id) AS g FROM msg WHERE ats >= 0),
+hist AS (SELECT least(floor(4 * log2((g + 0.5) / 1e6))::INT, 119) AS b, count(*) AS n FROM gap WHERE g >= 1000000 GROUP BY 1),
+bin AS (SELECT r.b, coalesce(n, 0) AS n FROM (SELECT unnest(range(120))::INT AS b) r LEFT JOIN hist ON hist.b = r.b),
+smooth AS (SELECT b, coalesce(lag(n) OVER (ORDER BY b), 0) + 2 * n + coalesce(lead(n) OVER (ORDER BY b), 0) AS s FROM bin),
+top AS (SELECT b AS t FROM smooth ORDER BY s DESC, b LIMIT 1),
+mode AS (SELECT p.b, p.s, (SELECT min(s) FROM smooth v WHERE v.b > t AND v.b < p.b) AS low, t FROM smooth p, top WHERE p.b >= greatest(t + 2, 43)),
+best AS (SELECT * FROM mode WHERE s > 0 AND 2 * (s - low) >= s ORDER BY s - low DESC, b LIMIT 1),
+silence AS (SELECT greatest(1800, floor(pow(2, ((SELECT min(v.b) + max(v.b) FROM smooth v WHERE v.b > t AND v.b < best.b AND v.s = low) // 2) / 4.0))) * 1e6 AS us FROM best),
+cut AS (SELECT *, CASE WHEN ats - lag(ats) OVER w > (SELECT us FROM silence) THEN 1 ELSE 0 END AS k FROM msg WINDOW w AS (PARTITION BY ch ORDER BY ats, event_id)),
+seg AS (SELECT *, sum(k) OVER (PARTITION BY ch ORDER BY ats, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM cut),
+pos AS (SELECT *, row_number() OVER w AS pos, lead(who) OVER w AS nxt FROM seg WINDOW w AS (PARTITION BY ch, segment ORDER BY ats, event_id)),
+keep AS (SELECT ch, segment FROM pos GROUP BY 1, 2 HAVING NOT bool_or(bad) AND bool_and(CASE WHEN who = 'user' THEN coalesce(nxt = 'assistant', false) ELSE true END) AND min_by(who, pos) = 'user')
+SELECT ch AS channel, segment::INT AS segment, pos, event_id, who AS speaker FROM pos JOIN keep USING (ch, segment) WHERE ch NOT IN (SELECT ch FROM msg WHERE ats < 0)"""
+
 _OVER = f"""WITH {_CURRENT.replace("tags DESC NULLS LAST", "length(content) DESC NULLS LAST")} SELECT 'pages' AS src, path AS item_key FROM cur WHERE length(content) > 6000
 UNION ALL SELECT DISTINCT 'chunks', chunk_id::VARCHAR FROM chunks WHERE abs(end_page - start_page) + 1 > 20 AND chunk_id IS NOT NULL"""
 
-ORACLES = {"p2_found": _TALK, "p3_found": _PAIRS, "p5_found": _OVER}
+ORACLES = {"p2_found": _TALK, "p2_channels": _SEGMENTS, "p3_found": _PAIRS, "p5_found": _OVER}
