@@ -23,6 +23,7 @@ import xxhash
 BUCKETS = 1 << 17
 WORDS_KEPT = 300_000
 MODEL = "names_model.npz"
+CUT = "\x1e"  # stands between texts that are looked at together; nothing is seen across it
 KNOWN = 2.0  # what a known given name or a form of address adds to the score
 
 TITLES = {"mr": "m", "mrs": "f", "ms": "f", "miss": "f", "dr": "n", "prof": "n", "professor": "n", "doctor": "n", "sir": "m", "herr": "m", "herrn": "m", "frau": "f", "mme": "f", "mlle": "f", "madame": "f", "monsieur": "m", "señor": "m", "señora": "f", "senora": "f", "senor": "m", "señorita": "f", "sra": "f", "sr": "m", "don": "m", "doña": "f", "г-н": "m", "г-жа": "f", "господин": "m", "госпожа": "f", "доктор": "n", "профессор": "n", "κύριος": "m", "κ": "m", "κα": "f", "κυρία": "f", "δρ": "n"}
@@ -35,7 +36,7 @@ _CAPITAL = rf"[{_UP}][^\W\d_]*(?:['’-][^\W\d_]+)*\.?"
 RUN = re.compile(rf"[{_UP}](?<![\w@#/'’_-].)(?<!\w\..)[^\W\d_]*(?:['’-][^\W\d_]+)*\.?(?:(?:,?{_GAP}|(?<=\.))(?:(?i:{_PART}))?{_CAPITAL})+(?![\w@/_])")
 _IN_RUN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?|,")
 _LOW = r"[^\W\d_A-Z]"
-FIELD = re.compile(rf"[|:\"] ?(?P<n>{_LOW}{{2,}}(?:['’-]{_LOW}+)*(?:[ \t][^\W\d_]\.)?(?:[ \t]{_LOW}{{2,}}(?:['’-]{_LOW}+)*){{1,3}})(?=[ \t]*(?:[|\"\n]|$))")
+FIELD = re.compile(rf"[|:\"] ?(?P<n>{_LOW}{{2,}}(?:['’-]{_LOW}+)*(?:[ \t][^\W\d_]\.)?(?:[ \t]{_LOW}{{2,}}(?:['’-]{_LOW}+)*){{1,3}})(?=[ \t]*(?:[|\"\n{CUT}]|$))")
 _CONTEXT = re.compile(r"\n|[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s\"\\{}()*]|_")
 _HONOURED = re.compile(r"(?<![一-鿿])[一-鿿]{1,4}?(?=先生|女士|小姐|氏|様|さん)|[가-힣]{2,4}(?=[ \t]?(?:씨|님))|[゠-ヿ]{2,10}(?=さん|様|氏)")
 
@@ -67,10 +68,12 @@ def features(text: str, a: int, b: int, words: list[str], before: bool, behind:
     ``words``: the span's words, commas among them. ``before``, ``behind``: it touches more capitalised words of its run.
     ``level(word)``: how much of an ordinary word it is, 0 to 4.
     """
-    left = _CONTEXT.findall(text[max(0, a - 48) : a])
-    if a > 48 and left:
+    start = max(text.rfind(CUT, 0, a) + 1, a - 48)
+    left = _CONTEXT.findall(text, start, a)
+    if start and text[start - 1] != CUT and left:
         left = left[1:]  # its beginning may be cut off
-    right = _CONTEXT.findall(text[b : b + 32])[:3]
+    cut = text.find(CUT, b, b + 32)
+    right = _CONTEXT.findall(text, b, cut if cut >= 0 else b + 32)[:3]
     left = [w.lower() if w[0].isalpha() else "0" if w[0].isdigit() else w for w in left[-3:]]
     right = [w.lower() if w[0].isalpha() else "0" if w[0].isdigit() else w for w in right]
     l1, l2, l3 = ([""] * 3 + left)[-1], ([""] * 3 + left)[-2], ([""] * 3 + left)[-3]
@@ -92,7 +95,7 @@ def features(text: str, a: int, b: int, words: list[str], before: bool, behind:
     around = next((script_of(w[0]) for w in reversed(left) if w[0].isalpha()), next((script_of(w[0]) for w in right if w[0].isalpha()), ""))
     first, last = (names[0], names[-1]) if names else ("", "")
     ordinary = f"{level(first)}{level(last)}" if names else "-"
-    at, edge = text[a - 1 : a] or "^", text[b : b + 1] or "$"
+    at, edge = text[a - 1 : a].replace(CUT, "") or "^", text[b : b + 1].replace(CUT, "") or "$"
     inside = f"{before:d}{behind:d}"
     out = [
         ("=", f"kinds {kinds}"), ("=", f"kinds {kinds} l1 {l1}"), ("=", f"kinds {kinds} in {inside}"), ("=", f"in {inside} l1 {l1}"), ("=", f"l1 {l1} l2 {l2}"), ("=", f"l2 {l2} l3 {l3} l1 {l1}"), ("=", f"r1 {r1} r2 {r2}"),
@@ -218,7 +221,7 @@ def candidates(text: str, low: str, given: list[tuple[int, int]], lexicon: froze
             yield m.start("n"), m.end("n"), words, False, False, any(w in lexicon for w in words)
     for m in _LOWER_INITIAL.finditer(text):
         a = m.start() - 1
-        if a >= 0 and text[a].isalpha() and text[a].islower() and (a == 0 or text[a - 1] in " \t\n\"|:,"):
+        if a >= 0 and text[a].isalpha() and text[a].islower() and (a == 0 or text[a - 1] in " \t\n\"|:," + CUT):
             yield a, m.end(), _IN_RUN.findall(text[a : m.end()]), False, False, False
 
 

@@ -15,13 +15,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.names import PARTICLES, TITLES, Tagger, apart
+from lorebase.llm.names import CUT, PARTICLES, TITLES, Tagger, apart
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 _ORDER = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}  # which kind keeps a span that two claim
@@ -62,7 +63,7 @@ _PHONES = [
     r"\(?0[1-9]\d{0,4}\)?(?:[ \t]?[ ./-][ \t]?\d{2,8}){1,4}",
 ]
 PHONE = re.compile(rf"(?:{'|'.join(_PHONES)})(?:[ \t]*(?:ext\.?|x|Durchwahl|poste)[ \t]*\d{{1,5}})?$", re.I)
-PHONE_CUE = re.compile(r"\b(?:phone|tel\.?|tél\.?|mobile?|cell|fax|whatsapp|call|handy|telefon|téléphone|teléfono|móvil|portable|notruf|callback|reach (?:me|her|him|us) (?:on|at))(?![^\W\d_])[^\d\n.!?]{0,18}$", re.I)
+PHONE_CUE = re.compile(r"\b(?:phone|tel\.?|tél\.?|mobile?|cell|fax|whatsapp|call|handy|telefon|téléphone|teléfono|móvil|portable|notruf|callback|reach (?:me|her|him|us) (?:on|at))(?![^\W\d_])[^\d\n.!?\x1e]{0,18}$", re.I)
 _BARE_DATE = re.compile(r"(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}(?!\d)|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d(?!\d)")
 
 ID_WORDS = ("ssn", "social security", "social", "tax id", "tax number", "taxpayer", "tin", "ni number", "nino", "national insurance", "passport", "passeport", "pasaporte", "reisepass", "national id", "id card", "identity card", "ausweisnummer", "personalausweis", "ausweis", "personal number", "personnummer", "licence", "license", "permis de conduire", "führerschein", "permiso de conducir", "dni", "nif", "nie", "cpr", "nir", "sécurité sociale", "seguridad social", "sozialversicherung", "rentenversicherung", "steuer-id", "steuernummer", "steuer-identifikationsnummer", "carte d'identité", "codice fiscale", "bsn", "curp", "cpf", "pesel", "aadhaar")
@@ -292,19 +293,27 @@ class Redactor:
             strings = [(0, len(content), "", _unescape(content))] if escaped else None
         if strings is None:
             return self._replaced(content, self.detect(content))
+        # all strings are looked at in one go
+        ends, joined = [], CUT.join([head + text for _, _, head, text in strings])
+        for _, _, head, text in strings:
+            ends.append((ends[-1] + len(CUT) if ends else 0) + len(head) + len(text))
+        by_string: dict[int, list[tuple[int, int, str]]] = {}
+        for x, y, kind in self.detect(joined):
+            i = bisect_left(ends, y)
+            shift = ends[i] - len(strings[i][3])
+            if y > shift:
+                by_string.setdefault(i, []).append((max(0, x - shift), y - shift, kind))
         out, at, items = [], 0, []
-        for a, b, head, text in strings:
-            spans = [(max(0, x - len(head)), y - len(head), kind) for x, y, kind in self.detect(head + text) if y > len(head)]
-            if spans:
-                raw = content[a:b]
-                places = _unescaped(raw)[1]
-                cut = 0
-                for x, y, kind in spans:
-                    new, own = self._replaced(text[x:y], [(0, y - x, kind)])
-                    items += own
-                    out += [content[at : a + places[x]] if not cut else raw[cut : places[x]], json.dumps(new, ensure_ascii=False)[1:-1]]
-                    cut = places[y]
-                at = a + cut
+        for i, spans in sorted(by_string.items()):
+            a, b, _, text = strings[i]
+            raw, cut = content[a:b], 0
+            places = _unescaped(raw)[1]
+            for x, y, kind in spans:
+                new, own = self._replaced(text[x:y], [(0, y - x, kind)])
+                items += own
+                out += [content[at : a + places[x]] if not cut else raw[cut : places[x]], json.dumps(new, ensure_ascii=False)[1:-1]]
+                cut = places[y]
+            at = a + cut
         return "".join(out) + content[at:], items
 
     def _replaced(self, text: str, spans: list[tuple[int, int, str]]) -> tuple[str, list[tuple[str, str, str]]]:
