@@ -11,9 +11,10 @@ The network is trained by ``abuse_training`` and stored beside this module; no l
 
 from __future__ import annotations
 
-import os
+import io
 import re
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,8 @@ from lorebase.llm.mixing import source_name
 WINDOW, STRIDE = 40, 28
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 8192, 4096, 12, 12
 WORDS_KEPT = 150_000
-MODEL = os.path.join(os.path.dirname(__file__), "abuse_model.npz")
+MODEL = "abuse_model.npz"
+LONGEST = 60  # characters of a word; what is longer is read as several
 PAD = "\x00"
 
 _LETTERS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "i"})
@@ -36,6 +38,7 @@ _NUMBERED = re.compile(r"[^\W\d_]+\d+|\d{2,}[^\W\d_]+|\d[^\W\d_]{1,3}")
 _DIGITS = re.compile(r"\d+")
 _EDGE = " \t.,;:!?…\"'`’‘“”«»()[]{}<>|_~#/\\-–—=+&^%"
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .]){3,}[^\W\d_](?!\w)")
+_MARKS = re.compile(r"[^\W_]+(?:['’*@$!][^\W_]+)*|[^\w\s]{1,60}|_")
 _STRETCHED = re.compile(r"(.)\1{2,}")
 
 
@@ -53,12 +56,15 @@ def canonical(word: str) -> str:
         if len(parts) > 2 and max(map(len, parts)) == 1:
             bare = "".join(parts)
     bare = _STRETCHED.sub(lambda m: "*" if m.group(1) == "*" else m.group(1), bare)
-    return re.sub(r"\*+", "*", bare)[:60]
+    return re.sub(r"\*+", "*", bare)[:LONGEST]
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text; letters written apart are joined."""
-    return _SPACED.sub(lambda m: m.group().replace(" ", "").replace(".", ""), text).split()
+    """The words of a text; letters written apart are joined, over-long words fall apart at marks, else into pieces."""
+    found = _SPACED.sub(lambda m: m.group().replace(" ", "").replace(".", ""), text).split()
+    if all(len(w) <= LONGEST for w in found):
+        return found
+    return [part[i : i + LONGEST] for w in found for part in ([w] if len(w) <= LONGEST else _MARKS.findall(w) or [w]) for i in range(0, len(part), LONGEST)]
 
 
 def rows_of(word: str) -> tuple[int, np.ndarray]:
@@ -167,12 +173,13 @@ class Network:
             return (1 / (1 + np.exp(-best.astype(np.float64)))).tolist()
 
 
-def load(path: str = MODEL) -> tuple[Network, float]:
-    with np.load(path) as f:
+def load(path: str | None = None) -> tuple[Network, float]:
+    """The network of a file, else the one beside this module, also out of a zip."""
+    with np.load(path or io.BytesIO(resources.files(__package__).joinpath(MODEL).read_bytes())) as f:
         return Network({k: f[k] for k in f.files if k != "threshold"}), float(f["threshold"])
 
 
-def score(documents: DataFrame, path: str = MODEL) -> DataFrame:
+def score(documents: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, source, score, flagged`` for every document row, repeated ids too.
 
     Null, empty and blank texts score 0. Equal texts score alike. A text is scored whole, whatever its length. ``source``

@@ -85,18 +85,24 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.encode(table(spark, folder, "documents"))
 
 
-def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    sizes = mixing.sized_documents(table(spark, folder, "documents"))
-    plan = mixing.plan_mixture(sizes, table(spark, folder, "mix_targets"), mixing.CORPUS)
+def _mixed(spark: SparkSession, folder: str, total: int | str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, folder, "mix_targets")
+    sizes = mixing.sized_documents(table(spark, folder, "documents"), targets)
+    plan = mixing.plan_mixture(sizes, targets, total)
     return mixing.mixture(sizes, plan), plan
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return _mixed(spark, folder)[0]
+    return _mixed(spark, folder, mixing.CORPUS)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.shares(*_mixed(spark, folder))
+    return mixing.shares(*_mixed(spark, folder, mixing.CORPUS))
+
+
+def p7_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of a mixture of a given size, 100,000 tokens."""
+    return mixing.shares(*_mixed(spark, folder, 100_000))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +117,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(abuse.score(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_surrogates, p1_placeholders, p1_distinct, p2_found, p2_channels, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_surrogates, p1_placeholders, p1_distinct, p2_found, p2_channels, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p7_budget, p8_found, p8_scores, p8_rates)}
 _DAY = """coalesce(try_cast(regexp_extract(updated, '^\\s*(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 1) AS INT) * 10000 + try_cast(regexp_extract(updated, '^\\s*(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 2) AS INT) * 100
     + try_cast(regexp_extract(updated, '^\\s*(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 3) AS INT), 0)"""
 _CURRENT = f"""cur AS (SELECT path, tags, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY {_DAY} DESC, coalesce(updated, '') DESC, tags DESC NULLS LAST, content DESC NULLS LAST) AS rn FROM pages WHERE path IS NOT NULL) WHERE rn = 1)"""

@@ -3,7 +3,8 @@
 Each partition cuts its texts into words (the tokenizer's own pattern). The words it hasn't met go as token-position rows
 into a recursive query that joins them with the merge table and contracts each word's pair of least rank, all its
 occurrences from the left, until no pair is left; an ordered aggregation gives the word's ids. ``USING KEY`` keeps one
-row per position, so a very long word takes no more than its length. Words already met are looked up; the memory is
+row per position, so a very long word takes no more than its length; words fall apart before that wherever two bytes
+meet that stand side by side in no token, as no merge can reach over them, and the pieces are contracted side by side. Words already met are looked up; the memory is
 bounded, so a partition needs no more for a larger corpus.
 """
 
@@ -67,10 +68,18 @@ class Encoder:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.letters = np.array([ids[c] for c in byte_letters()], np.int32)
         self.con = duckdb.connect()
-        self.con.execute("SET threads=1; SET memory_limit='256MB'; SET preserve_insertion_order=false")
+        # no folder to spill into: what a query holds is bounded by ROWS_AT_ONCE
+        self.con.execute("SET threads=1; SET memory_limit='600MB'; SET temp_directory=''; SET preserve_insertion_order=false")
         merges = pa.table({"l": pa.array([ids[a] for a, _ in pairs], pa.int32()), "r": pa.array([ids[b] for _, b in pairs], pa.int32()), "rank": pa.array(range(len(pairs)), pa.int32()), "id": pa.array([ids[a + b] for a, b in pairs], pa.int32())})
         self.con.register("m", merges)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
+        # bytes that stand side by side in some token; no merge reaches over any other pair, so words fall apart there
+        codes = {c: b for b, c in enumerate(byte_letters())}
+        self.joined = np.zeros((256, 256), bool)
+        for token in ids:
+            if all(c in codes for c in token):
+                own = [codes[c] for c in token]
+                self.joined[own[:-1], own[1:]] = True
         self.find = regex.compile(PATTERN).findall
         self._forget()
 
@@ -80,9 +89,29 @@ class Encoder:
         self.counts = [np.empty(0, np.int64)]
 
     def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has). Words are contracted in pieces between bytes that no token joins."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "p": place.astype(np.int32), "t": self.letters[np.frombuffer(b"".join(words), np.uint8)]})
+        data = np.frombuffer(b"".join(words), np.uint8)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[1:-1] = ~self.joined[data[:-1], data[1:]]
+        firsts = np.cumsum(sizes) - sizes
+        begins[firsts[sizes > 0]] = begins[-1] = True
+        edges = np.flatnonzero(begins)
+        flat, counts, at = [], [], 0
+        while at < len(edges) - 1:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + ROWS_AT_ONCE, "right")) - 1)
+            own, held = self._contracted(data[edges[at] : edges[to]], np.diff(edges[at : to + 1]))
+            flat.append(own)
+            counts.append(held)
+            at = to
+        counts = np.concatenate([np.empty(0, np.int64), *counts])
+        whole = np.concatenate([[0], np.cumsum(counts)])
+        ends = whole[np.searchsorted(edges, np.concatenate([firsts, [len(data)]]))]
+        return np.concatenate([np.empty(0, np.int32), *flat]), np.diff(ends)
+
+    def _contracted(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start = pa.table({"w": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "p": place.astype(np.int32), "t": self.letters[data]})
         self.con.register("start", start)
         column = self.con.sql(MERGE).to_arrow_table().column("ids").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
