@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from lorebase.llm.common import page_day
 from lorebase.operators.components import components
-from lorebase.plans.staging import stage
+from lorebase.plans.staging import release, stage
 
 SWEEPS, BUCKETS, MANTISSA = 8, 64, 10
 ROWS, RECALL = 6, 0.997
@@ -271,7 +271,7 @@ def _block_pairs(hot: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def class_candidates(classes: DataFrame, least: float) -> DataFrame:
-    """Distinct candidate pairs ``a < b`` of classes (``no, n, regs``)."""
+    """Distinct candidate pairs ``a < b`` of classes (``no, n, regs``), staged."""
     make = _keys(least)
     keys = lambda some: some.select("no", "regs").mapInPandas(make, "k long, no long")
     # the keys of a sample tell which keys far more than HOT classes share; others are met one by one below
@@ -290,7 +290,9 @@ def class_candidates(classes: DataFrame, least: float) -> DataFrame:
         hot = stage(hot, "common-keys")
         counted = hot.join(hot.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "k")
         pairs = pairs.unionByName(_block_pairs(counted, classes, least))
-    return pairs.distinct()
+    found = stage(pairs.distinct(), "candidates")
+    release(known, runs, *([hot] if hot is not None else []))
+    return found
 
 
 @F.pandas_udf(T.DoubleType())
@@ -316,9 +318,10 @@ def similar_classes(records: DataFrame, classes: DataFrame, k: int, least: float
     """``a, b, similarity``: verified pairs of class ids, staged. ``classes``: ``no, class_id, rank, digest, n, regs``."""
     # each step first keeps the few rows that the last one left: by a table that was written, so that the planner knows its
     # size, broadcasts it if it is small and joins it by a shuffle if not
-    pairs = stage(class_candidates(classes.select("no", "n", "regs"), least), "candidates")
+    pairs = class_candidates(classes.select("no", "n", "regs"), least)
     met = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
-    side = classes.select("no", "n", "regs").join(stage(met, "candidate-classes"), "no", "left_semi")
+    candidates = stage(met, "candidate-classes")
+    side = classes.select("no", "n", "regs").join(candidates, "no", "left_semi")
     both = pairs.join(side.toDF("a", "n_a", "regs_a"), "a").join(side.toDF("b", "n_b", "regs_b"), "b")
     both = both.where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
     likely = stage(both.where(_estimated("regs_a", "regs_b", "n_a", "n_b") >= least - SURE).select("a", "b"), "likely")
@@ -338,7 +341,9 @@ def similar_classes(records: DataFrame, classes: DataFrame, k: int, least: float
     grams = stage(made, "sets")
     joined = likely.join(grams.toDF("a", "id_a", "grams_a"), "a").join(grams.toDF("b", "id_b", "grams_b"), "b")
     found = joined.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), _exact("grams_a", "grams_b").alias("similarity"))
-    return stage(found.where(F.col("similarity") >= least), "similar")
+    found = stage(found.where(F.col("similarity") >= least), "similar")
+    release(classes, pairs, candidates, likely, ends, wanted, grams)
+    return found
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -366,6 +371,7 @@ def near_duplicates(records: DataFrame, k: int = 5, least: float = 0.8) -> tuple
     chosen = made.select("key", "rank", "digest", "n", "regs").join(names.select("key", F.col("rank").alias("_r"), F.col("digest").alias("_d")), "key").where("rank = _r AND digest = _d")
     classes = chosen.groupBy("key").agg(F.max(F.struct("rank", "digest", "n", "regs")).alias("s")).select(F.col("key").alias("class_id"), "s.*")
     classes = stage(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
+    release(made, current)
     return members, similar_classes(records, classes, k, least)
 
 
