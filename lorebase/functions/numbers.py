@@ -48,9 +48,9 @@ def price_of(model: Column, part: int, prices=PRICES, default=DEFAULT_PRICE) ->
     return out.otherwise(F.lit(default[part])) if out is not None else F.lit(default[part])
 
 
-def cost(model: Column, parts: list[Column]) -> Column:
-    """Dollars of (input, output, cache write, cache read) tokens; nulls are 0."""
+def cost(model: Column, parts: list[Column], prices=PRICES, default=DEFAULT_PRICE) -> Column:
+    """Dollars of (input, output, cache write, cache read) tokens; nulls are 0. ``prices``: as PRICES, by prefix."""
     total = F.lit(0.0)
     for i, p in enumerate(parts):
-        total = total + F.coalesce(p, F.lit(0)) * price_of(model, i)
+        total = total + F.coalesce(p, F.lit(0)) * price_of(model, i, prices, default)
     return total / 1_000_000

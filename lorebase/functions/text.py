@@ -150,3 +150,35 @@ def fold_compatible(texts):
 def redact_simple(c: Column) -> Column:
     """Mail addresses and dotted quads as placeholders (the guard before a model call)."""
     return F.regexp_replace(F.regexp_replace(c, r"[\w.+-]+@[\w-]+\.[\w.-]+", "[EMAIL]"), r"\b\d{1,3}(\.\d{1,3}){3}\b", "[IP]")
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def url_quoted(c: Column) -> Column:
+    """Percent encoding in which letters, digits, ``_.-~`` and ``/`` stay."""
+    out = F.url_encode(c)
+    for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def checklist(items: Column) -> Column:
+    """A line with an open box for each item; one that says that there is none."""
+    lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- [ ] "), x)), "\n")
+    return F.when(F.size(items) > 0, lines).otherwise("- [ ] None detected")
+
+
+def without_editor_context(c: Column) -> Column:
+    """Without the heading that an editor puts before a prompt, and the lines up to the next but one line break."""
+    # fixed value: how that heading begins
+    return strip(F.regexp_replace(c, r"(?s)\A#\s*Context from my IDE.*?\n.*?\n", ""))
+
+
+def unfenced(c: Column) -> Column:
+    """What stands in a code fence that a text begins with; the text itself without one. Ends are stripped."""
+    bare = strip(c)
+    inside = F.substring_index(F.regexp_replace(bare, r"\A[^\n]*\n?", ""), "```", 1)
+    return F.when(bare.startswith("```"), strip(inside)).otherwise(bare)

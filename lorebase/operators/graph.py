@@ -158,8 +158,9 @@ def dead_links(links: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def stale(pages: DataFrame, today: str, days: int = 60) -> DataFrame:
-    """Pages whose readable ``updated`` is more than ``days`` before ``today``."""
-    day = F.col("updated").try_cast("date")
+    """Pages whose ``updated`` is a day, with hyphens or slashes, more than ``days`` before ``today``; other texts are no day."""
+    text = strip(F.col("updated"))
+    day = F.when(text.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$"), F.replace(text, F.lit("/"), F.lit("-")).try_cast("date"))
     return pages.where(F.date_diff(F.lit(today).cast("date"), day) > days).select("path", day.cast("string").alias("updated"))
 
 
@@ -185,3 +186,39 @@ def pca_layout(vectors: DataFrame, key: str = "id", vector: str = "vector") -> D
     return scaled_layout(flat.select("id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")))
 
 
+
+# fixed values: colour of a domain, shape of a type
+DEFAULT_COLOUR, DEFAULT_SHAPE = "#9E9E9E", "ellipse"
+
+
+def title_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes ``title, degree, size``, edges ``source, target``) of pages known by their titles.
+
+    A link counts for its target's degree, and for its page's if its target is among the pages, as often as it is written;
+    edges are distinct and lead to another page. Titles that several pages share are one node.
+    """
+    named = pages.select(F.coalesce("title", stem(F.col("path"))).alias("title"), F.col("content"))
+    titles = named.select("title").distinct()
+    links = named.select(F.col("title").alias("source"), F.explode(wikilinks(F.col("content"))).alias("target")).withColumn("target", F.trim("target"))
+    links = links.join(titles.select(F.col("title").alias("target")), "target", "left_semi")
+    ends = links.select(F.explode(F.array("source", "target")).alias("title")).groupBy("title").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = titles.join(ends, "title", "left").select("title", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return nodes.withColumn("size", F.least(F.greatest(25 + 5 * F.col("degree"), F.lit(25)), F.lit(75))), links.where("source <> target").select("source", "target").distinct()
+
+
+def styled(nodes: DataFrame, colours: dict[str, str], shapes: dict[str, str]) -> DataFrame:
+    """Nodes ``domain, type_tag`` with ``colour`` and ``shape`` from the given maps, else the defaults."""
+    chosen = lambda m, c, other: F.coalesce(F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col(c)], F.lit(other)) if m else F.lit(other)
+    return nodes.withColumns({"colour": chosen(colours, "domain", DEFAULT_COLOUR), "shape": chosen(shapes, "type_tag", DEFAULT_SHAPE)})
+
+
+def conflicts(pages: DataFrame) -> DataFrame:
+    """``path, unresolved``: pages that record conflicts nobody has decided, with their number."""
+    # fixed value: the line that says so
+    open_ = F.size(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?m)^\*\*Status:\*\*\s*Unresolved"), 0))
+    return pages.select("path", open_.alias("unresolved")).where("unresolved > 0")
+
+
+def uncited(pages: DataFrame) -> DataFrame:
+    """Pages whose front matter names no source."""
+    return pages.where(~F.coalesce(F.col("content").rlike(r"(?m)^sources:\s*(\r?\n\s*-|\[.+\])"), F.lit(False))).select("path")

@@ -53,7 +53,8 @@ def routed(query: Column, rules: list[tuple[str, str]], default: str = "retrieve
 
 def review_sample(rows: DataFrame, key: str, stratum: str, share: float = 0.05, signal: Column | None = None) -> DataFrame:
     """A share of each stratum by a hash of the key (the same rows on every run), and all rows with a signal."""
-    chosen = F.pmod(F.xxhash64(F.lit("review"), key), F.lit(10_000)) < int(share * 10_000)
+    number = F.conv(F.substring(F.md5(F.concat(F.lit("review "), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
+    chosen = F.coalesce(number % 10_000 < int(share * 10_000), F.lit(False))
     why = F.when(signal, "signal").when(chosen, "sample") if signal is not None else F.when(chosen, "sample")
     return rows.withColumn("reason", why).where("reason IS NOT NULL").select(key, stratum, "reason")
 

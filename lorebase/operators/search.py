@@ -98,3 +98,33 @@ def briefing(pages: DataFrame, by: Column) -> DataFrame:
     line = F.struct(F.coalesce(rank[kind], F.lit(9)).alias("r"), F.coalesce("title", stem(F.col("path"))).alias("t"), F.col("path").alias("p"), F.concat_ws(": ", "title", "summary").alias("line"))
     rows = pages.select(by.alias("domain"), line.alias("l")).groupBy("domain").agg(F.array_sort(F.collect_list("l")).alias("ls"), F.count(F.lit(1)).alias("pages"))
     return rows.select("domain", "pages", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("briefing"))
+
+
+def page_by_id(pages: DataFrame, page_id: str) -> DataFrame:
+    """``rank, path, text``: the page of that file name (rank 1), else the first in path order whose title is the id with
+    blanks for its hyphens (rank 2; files that begin with ``_`` aside), as a text with title and summary. No page, no row.
+    """
+    title = F.coalesce("title", stem(F.col("path")))
+    named = F.lower(title) == page_id.lower().replace("-", " ")
+    rank = F.when(stem(F.col("path")) == page_id, 1).when(named & ~F.substring_index("path", "/", -1).startswith("_"), 2)
+    text = F.concat(F.lit("# "), title, F.lit("\n\nSummary: "), F.coalesce("summary", F.lit("")), F.lit("\n\n"), F.coalesce("content", F.lit("")))
+    return pages.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", path_order(F.col("path"))).limit(1).select("rank", "path", text.alias("text"))
+
+
+def dashboard_search(pages: DataFrame, text: str) -> DataFrame:
+    """Pages whose title holds the text in any case, or whose tags, joined by blanks, hold it in lower case."""
+    tags = F.array_join(tag_list(F.col("tags")), " ")
+    hit = X.holds(F.coalesce("title", stem(F.col("path"))), text) | F.contains(tags, F.lit(text.lower()))
+    return pages.where(hit).select("path", F.coalesce("title", stem(F.col("path"))).alias("title"), tags.alias("tags")).orderBy("title", "path")
+
+
+def selected(pages: DataFrame, tags: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> DataFrame:
+    """Pages with one of the tags and of one of the types; an empty choice lets everything pass."""
+    own = tag_list(F.col("tags"))
+    rows = pages.where(F.arrays_overlap(own, F.array(*map(F.lit, tags)))) if tags else pages
+    return rows.where(first_type(own).isin(*types)) if types else rows
+
+
+def index_of(pages: DataFrame) -> DataFrame:
+    """``id, path, title, tags, summary, updated`` for an index, with defaults for what is null."""
+    return pages.select(stem(F.col("path")).alias("id"), "path", F.coalesce("title", stem(F.col("path"))).alias("title"), F.array_join(tag_list(F.col("tags")), " ").alias("tags"), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("updated", F.lit("")).alias("updated"))

@@ -116,7 +116,7 @@ def session_statistics(events: DataFrame) -> DataFrame:
     """
     user, assistant = F.col("speaker") == "user", F.col("speaker") == "assistant"
     text = X.strip(X.without_elements(plain_text(F.col("content"))))
-    first = F.min(F.when(user & (text != ""), F.struct("at", "event_id", F.substring(text, 1, 200).alias("t"))))
+    first = F.min(F.when(user & (text != "") & F.col("at").isNotNull(), F.struct("at", "event_id", F.substring(text, 1, 200).alias("t"))))
     base = events.groupBy("session_id").agg(
         F.min("cwd").alias("project_path"), F.min(F.when(user, F.col("at"))).alias("start_us"), F.max(F.when(user, F.col("at"))).alias("end_us"),
         F.count_if(user).alias("user_messages"), F.count_if(assistant).alias("assistant_messages"),

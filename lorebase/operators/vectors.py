@@ -69,3 +69,9 @@ def trajectory(expected: DataFrame, actual: DataFrame, key: str, steps: str) ->
     both = expected.select(key, F.col(steps).alias("e")).join(actual.select(key, F.col(steps).alias("a")), key, "left")
     same = F.size(F.filter(F.arrays_zip("e", F.coalesce("a", F.array().cast("array<string>")).alias("a")), lambda z: z["e"] == z["a"]))
     return both.select(key, F.coalesce(F.try_divide(same, F.size("e")), F.lit(0.0)).alias("score"))
+
+
+def best_per(rows: DataFrame, fingerprint: Column, score: str, key: str) -> DataFrame:
+    """``key, copies``: of the rows with a fingerprint the one of the highest score, ties to the least key; nulls score lowest."""
+    best = F.max(F.struct(F.coalesce(F.col(score), F.lit(-1)).alias("s"), (-F.col(key)).alias("k"))).alias("b")
+    return rows.groupBy(fingerprint.alias("_f")).agg(best, F.count(F.lit(1)).alias("copies")).select((-F.col("b.k")).alias(key), "copies")

@@ -26,4 +26,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-from lorebase.plans import chunking, graph, ledger, notes, pipeline, search, text, usage, vectors  # noqa: E402, F401
+from lorebase.plans import chunking, graph, ledger, notes, pipeline, prompts, report, search, text, usage, vectors  # noqa: E402, F401

@@ -79,14 +79,34 @@ def lint_orphans(spark, folder):
     return G.orphans(n, table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("dst")))
 
 
-@query(f"WITH {CURRENT} SELECT path, try_cast(updated AS DATE)::VARCHAR AS updated FROM page WHERE regexp_matches(updated, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') AND date_diff('day', try_cast(updated AS DATE), DATE '2026-10-01') > 60")
+@query(f"WITH {CURRENT}, d AS (SELECT path, CASE WHEN regexp_matches(trim(updated), '^\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}$') THEN try_cast(replace(trim(updated), '/', '-') AS DATE) END AS day FROM page) SELECT path, day::VARCHAR AS updated FROM d WHERE date_diff('day', day, DATE '2026-10-01') > 60")
 def lint_stale(spark, folder):
-    return G.stale(pages(spark, folder).where(F.col("updated").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")), "2026-10-01")
+    return G.stale(pages(spark, folder), "2026-10-01")
 
 
 @query(f"WITH {CURRENT} SELECT path FROM page WHERE NOT coalesce(regexp_matches(content, '(?m)^sources:\\s*(\\r?\\n\\s*-|\\[.+\\])'), false)")
 def lint_uncited(spark, folder):
-    return pages(spark, folder).where(~F.coalesce(F.col("content").rlike(r"(?m)^sources:\s*(\r?\n\s*-|\[.+\])"), F.lit(False))).select("path")
+    return G.uncited(pages(spark, folder))
+
+
+@query(f"WITH {CURRENT} SELECT path, len(regexp_extract_all(coalesce(content, ''), '(?m)^\\*\\*Status:\\*\\*\\s*Unresolved'))::INT AS unresolved FROM page WHERE regexp_matches(content, '(?m)^\\*\\*Status:\\*\\*\\s*Unresolved')")
+def lint_conflicts(spark, folder):
+    return G.conflicts(pages(spark, folder))
+
+
+TITLED = f"""WITH {CURRENT}, p AS (SELECT coalesce(title, regexp_extract(path, '([^/]*)\\.md$', 1)) AS title, content FROM page),
+link AS (SELECT title AS source, trim(unnest(regexp_extract_all(content, '\\[\\[([^\\]|#]+)(?:[|#][^\\]]+)?\\]\\]', 1))) AS target FROM p),
+hit AS (SELECT * FROM link WHERE target IN (SELECT title FROM p))"""
+
+
+@query(f"{TITLED} SELECT DISTINCT source, target FROM hit WHERE source <> target")
+def title_edges(spark, folder):
+    return G.title_graph(pages(spark, folder))[1]
+
+
+@query(f"{TITLED}, e AS (SELECT source AS title FROM hit UNION ALL SELECT target FROM hit), d AS (SELECT title, count(*) AS degree FROM e GROUP BY 1) SELECT p.title, coalesce(degree, 0) AS degree, least(greatest(25 + 5 * coalesce(degree, 0), 25), 75) AS size FROM (SELECT DISTINCT title FROM p) p LEFT JOIN d USING (title)")
+def title_nodes(spark, folder):
+    return G.title_graph(pages(spark, folder))[0]
 
 
 _SEED = "seed AS (SELECT id FROM node WHERE list_contains(tags, 'bm25'))"

@@ -30,8 +30,7 @@ def note_constraints(spark, folder):
 @query(r"""SELECT doc_id, regexp_replace(regexp_extract(text, '(?m)^- \*\*Work\*\*:(.*)$', 1), '^\s+|\s+$', '', 'g') AS work, nullif(regexp_replace(regexp_extract(text, '(?m)^- \*\*Status\*\*:(.*)$', 1), '^\s+|\s+$', '', 'g'), '') AS status
 FROM documents WHERE regexp_matches(text, '(?m)^## Position\r?\n') AND regexp_matches(text, '(?m)^- \*\*Work\*\*: \S')""")
 def session_note_records(spark, folder):
-    d = table(spark, folder, "documents").where(F.contains("text", F.lit("## Position")))
-    return R.session_notes(d, "doc_id").select("doc_id", "work", "status")
+    return R.session_notes(table(spark, folder, "documents").where("text IS NOT NULL"), "doc_id").select("doc_id", "work", "status")
 
 
 @query(f"WITH {EV}, m AS (SELECT event_id, session_id, regexp_replace(CASE WHEN starts_with(content, '[{{') AND json_valid(content) THEN coalesce(list_filter(from_json(content, '[\"JSON\"]'), lambda b: b->>'type' IN ('text', 'input_text'))[1]->>'text', '') WHEN starts_with(content, '[{{') THEN '' ELSE content END, '^\\s+|\\s+$', '', 'g') AS t FROM ev WHERE speaker = 'user') SELECT event_id, session_id, left(t, 300) AS prompt FROM m WHERE length(t) > 20 AND NOT starts_with(t, '<')")

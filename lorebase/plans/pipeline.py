@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lorebase.operators import pipeline as P
 from lorebase.operators import usage as U
 from lorebase.plans.catalogue import query, table
-from lorebase.plans.usage import EV, events
+from lorebase.plans.usage import EV, STATS, events
 
 
 @query(f"WITH {EV}, m AS (SELECT session_id, event_id, left(regexp_replace(regexp_replace(coalesce(content, ''), '<[^>]+>.*?</[^>]+>', '', 'gs'), '^\\s+|\\s+$', '', 'g'), 300) AS t FROM ev WHERE speaker = 'user'), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) AS r FROM m WHERE length(t) > 5) SELECT session_id, string_agg(t, chr(10) ORDER BY event_id) AS messages FROM k WHERE r <= 8 GROUP BY 1")
@@ -45,12 +45,15 @@ def input_guard(spark, folder):
     return n.select("note_id", P.envelope(F.col("body"))["reason"].alias("reason"))
 
 
-@query()
+@query("SELECT doc_id, source, CASE WHEN coalesce(n_chars > 20000, false) THEN 'signal' ELSE 'sample' END AS reason FROM documents WHERE coalesce(n_chars > 20000, false) OR ('0x' || left(md5('review ' || doc_id), 8))::BIGINT % 10000 < 500")
 def review_sample(spark, folder):
     d = table(spark, folder, "documents")
     return P.review_sample(d, "doc_id", "source", 0.05, F.coalesce(F.col("n_chars") > 20_000, F.lit(False)))
 
 
-@query()
+@query(f"""WITH {STATS}, n AS (SELECT session_id, coalesce(b->>'name', 'unknown') AS name, count(*) AS n FROM blk WHERE b->>'type' = 'tool_use' AND (speaker = 'assistant' OR type = 'tool_call') GROUP BY 1, 2),
+top AS (SELECT session_id, string_agg(name || '×' || n, ', ' ORDER BY n DESC, name) AS tools FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, name) AS r FROM n) WHERE r <= 3 GROUP BY 1),
+asked AS (SELECT session_id, left(arg_min(t, ats::HUGEINT * 1000000000000 + event_id), 120) AS prompt FROM text WHERE speaker = 'user' AND t <> '' AND ats IS NOT NULL GROUP BY 1)
+SELECT session_id, concat_ws(' | ', coalesce(prompt, ''), coalesce(tools, '')) AS line FROM stat LEFT JOIN top USING (session_id) LEFT JOIN asked USING (session_id) ORDER BY start_us DESC LIMIT 30""")
 def prompt_summary(spark, folder):
     return P.prompt_summary(U.session_statistics(events(spark, folder)))

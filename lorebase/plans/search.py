@@ -89,11 +89,21 @@ def page_lookup(spark, folder):
 
 @query(f"""WITH {CURRENT} SELECT regexp_extract(path, '([^/]*)\\.md$', 1) AS id, path, coalesce(title, regexp_extract(path, '([^/]*)\\.md$', 1)) AS title, array_to_string({TAGS}, ' ') AS tags, coalesce(summary, '') AS summary, coalesce(updated, '') AS updated FROM page""")
 def index_rows(spark, folder):
-    p = pages(spark, folder)
-    return p.select(S.stem(F.col("path")).alias("id"), "path", F.coalesce("title", S.stem(F.col("path"))).alias("title"), F.array_join(S.tag_list(F.col("tags")), " ").alias("tags"), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("updated", F.lit("")).alias("updated"))
+    return S.index_of(pages(spark, folder))
 
 
 @query(f"""WITH {CURRENT}, t AS (SELECT path, title, {TAGS} AS ts, {_TYPE} AS kind FROM page) SELECT path, title FROM t WHERE list_has_any(ts, ['voice', 'memory']) AND kind IN ('pattern', 'decision')""")
 def tag_and_type_filter(spark, folder):
-    tags = S.tag_list(F.col("tags"))
-    return pages(spark, folder).where(F.arrays_overlap(tags, F.array(F.lit("voice"), F.lit("memory"))) & S.first_type(tags).isin("pattern", "decision")).select("path", "title")
+    return S.selected(pages(spark, folder), ("voice", "memory"), ("pattern", "decision")).select("path", "title")
+
+
+@query(f"""WITH {CURRENT}, t AS (SELECT path, coalesce(title, regexp_extract(path, '([^/]*)\\.md$', 1)) AS t, summary, content, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') AS stem FROM page),
+r AS (SELECT *, CASE WHEN stem = 'choosing-a-guardrail' THEN 1 WHEN lower(t) = 'choosing a guardrail' AND NOT starts_with(split_part(path, '/', -1), '_') THEN 2 END AS rank FROM t)
+SELECT rank, path, '# ' || t || chr(10) || chr(10) || 'Summary: ' || coalesce(summary, '') || chr(10) || chr(10) || coalesce(content, '') AS text FROM r WHERE rank IS NOT NULL ORDER BY rank, string_split(path, '/') LIMIT 1""")
+def page_by_id(spark, folder):
+    return S.page_by_id(pages(spark, folder), "choosing-a-guardrail")
+
+
+@query(f"""WITH {CURRENT}, t AS (SELECT path, coalesce(title, regexp_extract(path, '([^/]*)\\.md$', 1)) AS title, array_to_string({TAGS}, ' ') AS tags FROM page) SELECT * FROM t WHERE contains(lower(title), 'stream') OR contains(tags, 'stream')""")
+def dashboard_search(spark, folder):
+    return S.dashboard_search(pages(spark, folder), "Stream")

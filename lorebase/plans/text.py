@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lorebase.functions import frontmatter as M
 from lorebase.functions import hashing as H
 from lorebase.functions import text as X
+from lorebase.operators import vectors as V
 from lorebase.plans.catalogue import query, table
 
 
@@ -39,9 +40,11 @@ def content_hash(spark, folder):
     return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", H.content_hash(F.col("text")).alias("hash"), H.url_hash(F.col("path")).alias("path_hash"))
 
 
-@query("""SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 'sha256:' || left(sha256(text), 16)""")
+@query("""SELECT arg_min(doc_id, -q * 10000000000 + doc_id) AS doc_id, count(*) AS copies FROM (SELECT d.doc_id, text, coalesce(q, -1) AS q FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id WHERE text IS NOT NULL) GROUP BY 'sha256:' || left(sha256(text), 16)""")
 def dedup_by_hash(spark, folder):
-    return table(spark, folder, "documents").where("text IS NOT NULL").groupBy(H.content_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("h")
+    rated = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, folder, "documents").where("text IS NOT NULL").join(rated, "doc_id", "left")
+    return V.best_per(docs, H.content_hash(F.col("text")), "quality", "doc_id")
 
 
 @query(r"""WITH u AS (SELECT DISTINCT url FROM issues) SELECT url, replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '') AS host, left(sha1(url), 8) AS url_hash, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM u""")

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import numbers as N
+from lorebase.functions import text as X
 from lorebase.operators import usage as U
 from lorebase.plans.catalogue import query, table
 
@@ -15,7 +16,9 @@ call AS (SELECT session_id, event_id, coalesce(b->>'name', 'unknown') AS name, c
 
 
 def events(spark, folder):
-    e = table(spark, folder, "session_events").where("session_id IS NOT NULL").dropDuplicates(["event_id"])
+    """One row per event_id: the least of its deliveries, with the working directory of any of them that has one."""
+    rest = F.min(F.struct("session_id", "type", "role", "timestamp", "model", "content", "usage")).alias("e")
+    e = table(spark, folder, "session_events").where("session_id IS NOT NULL").groupBy("event_id").agg(rest, F.max("cwd").alias("cwd")).select("event_id", "cwd", "e.*")
     speaker = F.when(F.lower("type") == "message", F.lower("role")).when(F.lower("type").isin("user", "assistant"), F.lower("type"))
     at = F.when(F.col("timestamp").rlike(r"^\d{13}$"), F.col("timestamp").try_cast("bigint") * 1000).when(F.col("timestamp").rlike(r"^\d{4}-"), F.unix_micros(F.when(F.col("timestamp").rlike(r"([Zz]|[+-]\d{2}:\d{2})$"), F.col("timestamp")).otherwise(F.concat("timestamp", F.lit("Z"))).try_cast("timestamp")))
     return e.select("event_id", "session_id", "type", "cwd", "model", "content", "usage", speaker.alias("speaker"), at.alias("at"))
@@ -129,17 +132,39 @@ def enrich_fallback(spark, folder):
     return U.enriched(notes, meta).select("note", "tokens", "matched")
 
 
-@query()
+STATS = BLOCKS.replace("WITH ", "") + f""", proj AS (SELECT session_id, min(cwd) AS project_path FROM (SELECT event_id, min(session_id) AS session_id, max(cwd) AS cwd FROM session_events WHERE session_id IS NOT NULL GROUP BY 1) GROUP BY 1),
+text AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN starts_with(content, '[{{') THEN CASE WHEN json_valid(content) THEN array_to_string(list_transform(list_filter(from_json(content, '["JSON"]'), lambda b: b->>'type' IN ('text', 'input_text', 'output_text')), lambda b: coalesce(b->>'text', '')), ' ') ELSE '' END
+    WHEN starts_with(content, '{{') THEN CASE WHEN json_valid(content) AND content->>'type' IN ('text', 'input_text', 'output_text') THEN coalesce(content->>'text', '') ELSE '' END ELSE coalesce(content, '') END, '<[^>]+>.*?</[^>]+>', '', 'gs'), '^\\s+|\\s+$', '', 'g') AS t FROM ev),
+made AS (SELECT session_id, count(*) FILTER (name = 'Bash' AND regexp_matches(command, '\\bcat\\s+\\S|\\bhead\\s|\\btail\\s|\\bsed\\s|\\bawk\\s|\\bgrep\\s|\\brg\\s|\\bfind\\s+\\.|\\bls\\s|\\bwc\\s')) AS shell_misuses, count(*) FILTER (name = 'Task') AS task_calls, count(*) FILTER (name = 'TodoWrite') AS todo_calls,
+    count(*) FILTER (name = 'Read') AS reads, count(*) FILTER (name IN ('Edit', 'Write', 'MultiEdit')) AS edits, count(*) AS calls, count(*) FILTER (name = 'Bash') AS bash
+    FROM (SELECT session_id, coalesce(b->>'name', 'unknown') AS name, b->'input'->>'command' AS command FROM blk WHERE b->>'type' = 'tool_use' AND (speaker = 'assistant' OR type = 'tool_call')) GROUP BY 1),
+skill AS (SELECT session_id, sum(len(regexp_extract_all(t, '(?:^|\\s)/([a-z][a-z0-9-]+)', 1)))::BIGINT AS skill_calls FROM text WHERE speaker = 'user' GROUP BY 1),
+g AS (SELECT session_id, (ats - lag(ats) OVER (PARTITION BY session_id ORDER BY ats)) / 1e6::DOUBLE AS gap FROM ev WHERE speaker = 'user' AND ats IS NOT NULL),
+wait AS (SELECT session_id, count(*) AS responses, count(*) FILTER (gap < 5) AS interruptions FROM g WHERE gap > 1 AND gap < 7200 GROUP BY 1),
+used AS (SELECT session_id, model, count(*) AS n, min(event_id) AS f FROM ev WHERE speaker = 'assistant' AND model <> '' GROUP BY 1, 2),
+main AS (SELECT session_id, arg_max(model, n * 10000000000 - f) AS primary_model FROM used GROUP BY 1),
+fail AS (SELECT session_id, count(*) FILTER (class IN ('edit_failed', 'file_not_found')) AS failures FROM (SELECT session_id, {_CLS} AS class FROM (SELECT session_id, lower(coalesce(b->>'content', '')) AS c FROM blk WHERE b->>'type' = 'tool_result' AND b->>'is_error' = 'true')) GROUP BY 1),
+base AS (SELECT session_id, min(ats) FILTER (speaker = 'user') AS start_us, max(ats) FILTER (speaker = 'user') AS end_us, count(*) FILTER (speaker = 'user') AS user_messages, count(*) FILTER (speaker = 'assistant') AS assistant_messages,
+    coalesce(sum(tin) FILTER (speaker = 'assistant'), 0)::BIGINT AS input_tokens, coalesce(sum(tout) FILTER (speaker = 'assistant'), 0)::BIGINT AS output_tokens FROM ev GROUP BY 1 HAVING start_us IS NOT NULL),
+stat AS (SELECT base.*, project_path, coalesce(shell_misuses, 0) AS shell_misuses, coalesce(task_calls, 0) AS task_calls, coalesce(todo_calls, 0) AS todo_calls, coalesce(reads, 0) AS reads, coalesce(edits, 0) AS edits, coalesce(calls, 0) AS calls, coalesce(bash, 0) AS bash, coalesce(skill_calls, 0) AS skill_calls,
+    coalesce(responses, 0) AS responses, coalesce(interruptions, 0) AS interruptions, coalesce(primary_model, 'unknown') AS primary_model, coalesce(failures, 0) AS failures, round_even((end_us - start_us) / 6e7::DOUBLE, 1) AS duration_minutes,
+    round_even(output_tokens / nullif(assistant_messages, 0)::DOUBLE, 1) AS output_tokens_per_msg, round_even(coalesce(reads, 0) / nullif(coalesce(edits, 0), 0)::DOUBLE, 2) AS read_edit_ratio
+    FROM base LEFT JOIN proj USING (session_id) LEFT JOIN made USING (session_id) LEFT JOIN skill USING (session_id) LEFT JOIN wait USING (session_id) LEFT JOIN main USING (session_id) LEFT JOIN fail USING (session_id))"""
+_PLAIN = ["session_id", "project_path", "start_us", "end_us", "user_messages", "assistant_messages", "input_tokens", "output_tokens", "shell_misuses", "task_calls", "todo_calls", "reads", "edits", "skill_calls", "responses", "interruptions", "primary_model", "duration_minutes", "output_tokens_per_msg", "read_edit_ratio"]
+
+
+@query(f"WITH {STATS} SELECT {', '.join(_PLAIN)} FROM stat")
 def session_stats(spark, folder):
-    return U.session_statistics(events(spark, folder))
+    return U.session_statistics(events(spark, folder)).select(*_PLAIN)
 
 
-@query()
+@query(f"""WITH {STATS}, s AS (SELECT session_id, list_filter([CASE WHEN failures > 2 THEN 'repeated tool failures' END, CASE WHEN bash / greatest(calls, 1)::DOUBLE > 0.6 THEN 'high shell usage' END, CASE WHEN interruptions > 3 THEN 'frequent interruptions' END], lambda x: x IS NOT NULL) AS x FROM stat)
+SELECT session_id, CASE WHEN len(x) = 0 THEN '- [ ] None detected' ELSE array_to_string(list_transform(x, lambda i: '- [ ] ' || i), chr(10)) END AS signals FROM s""")
 def friction_signals(spark, folder):
-    return U.friction(U.session_statistics(events(spark, folder)))
+    return U.friction(U.session_statistics(events(spark, folder))).select("session_id", X.checklist(F.col("signals")).alias("signals"))
 
 
-@query()
+@query(f"WITH {STATS} SELECT count(*) AS sessions, sum(user_messages)::BIGINT AS user_messages, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(DISTINCT start_us // 86400000000) AS days_active, count(*) FILTER (task_calls > 0) AS task_agent_sessions, count(*) FILTER (duration_minutes > 30 AND todo_calls = 0) AS long_without_todo, count(*) FILTER (read_edit_ratio < 1) AS ratio_below_1 FROM stat")
 def usage_totals(spark, folder):
     return U.totals(U.session_statistics(events(spark, folder)))
 
