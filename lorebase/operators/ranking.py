@@ -38,3 +38,28 @@ def with_position(df: DataFrame, group: list[str], order: list[str], position: s
         on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
     place = F.col(f"a.{MARK}") - F.col("b._first") + F.col("b._before") + 1
     return a.join(b, on).select(*[F.col(f"a.{c}") for c in df.columns], place.alias(position))
+
+
+def silences(rows: DataFrame, group: list[str], at: str) -> DataFrame:
+    """``group..., gap``: the differences of ``at`` between neighbouring rows of ordered fragments, also across their borders."""
+    inside = Window.partitionBy(*group, FRAGMENT).orderBy(MARK)
+    within = rows.select(*group, (F.col(at) - F.lag(at).over(inside)).alias("gap"))
+    ends = rows.groupBy(*group, FRAGMENT).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
+    along = Window.partitionBy(*group).orderBy(FRAGMENT)  # a row per range partition that the group reaches
+    across = ends.select(*group, (F.col("_a") - F.lag("_b").over(along)).alias("gap"))
+    return within.unionByName(across).where("gap IS NOT NULL")
+
+
+def segments(rows: DataFrame, group: list[str], at: str, gap: int, segment: str = "segment") -> DataFrame:
+    """Ordered fragments with the number, from 0, of the part of their group they belong to: a part ends where ``at``
+    rises by more than ``gap``. No group is gathered; what crosses a border is settled on a row per group and partition.
+    """
+    far = lambda later, earlier: F.coalesce((later - earlier > gap).cast("int"), F.lit(0))
+    inside = Window.partitionBy(*group, FRAGMENT).orderBy(MARK)
+    rows = rows.withColumn("_cut", far(F.col(at), F.lag(at).over(inside)))
+    rows = rows.withColumn("_part", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy(*group).orderBy(FRAGMENT)
+    ends = rows.groupBy(*group, FRAGMENT).agg(F.min(at).alias("_a"), F.max(at).alias("_b"), F.sum("_cut").alias("_cuts"))
+    ends = ends.withColumn("_new", far(F.col("_a"), F.lag("_b").over(along)) + F.coalesce(F.lag("_cuts").over(along), F.lit(0)))
+    base = ends.select(*group, FRAGMENT, F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"))
+    return rows.join(base, [*group, FRAGMENT]).withColumn(segment, F.col("_base") + F.col("_part")).drop("_cut", "_part", "_base")

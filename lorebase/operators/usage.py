@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import numbers as N
 from lorebase.functions import text as X
+from lorebase.operators.ranking import ordered_fragments, segments, silences, with_position
 
 BLOCK = "array<struct<type:string,name:string,text:string,is_error:boolean,content:string,input:struct<file_path:string,path:string,command:string>>>"
 # fixed values: shell commands for which there is a tool; bounds and names of response time buckets
@@ -65,10 +66,19 @@ def primary(rows: DataFrame, by: str, key: str, order: str) -> DataFrame:
 def gaps(rows: DataFrame, by: str, at: str, low: float = 1.0, high: float = 7200.0) -> DataFrame:
     """``by, gap``: seconds between neighbouring rows of a group, between ``low`` and ``high`` (both excluded).
 
-    ``at`` is a number of microseconds. A window per group: for groups of unbounded size order with ``ranking`` instead.
+    ``at`` is a number of microseconds; rows without are left out. Rows are ordered by range partitions, so no group is
+    gathered, whatever its size.
     """
-    d = (F.col(at) - F.lag(at).over(Window.partitionBy(by).orderBy(at))) / 1e6
-    return rows.select(by, d.alias("gap")).where((F.col("gap") > low) & (F.col("gap") < high))
+    ordered = ordered_fragments(rows.where(F.col(at).isNotNull() & F.col(by).isNotNull()).select(by, at), [by], [at], "gaps")
+    return silences(ordered, [by], at).select(by, (F.col("gap") / 1e6).alias("gap")).where((F.col("gap") > low) & (F.col("gap") < high))
+
+
+def sessions_by_silence(rows: DataFrame, by: str, at: str, tie: str, silence_us: int) -> DataFrame:
+    """``by, session, events, start_us``: the parts of each group between silences of more than ``silence_us``; ``at`` in
+    microseconds, equal times are ordered by ``tie``; sessions are numbered from 1."""
+    ordered = ordered_fragments(rows.where(F.col(at).isNotNull()).select(by, at, tie), [by], [at, tie], "sessions")
+    cut = segments(ordered, [by], at, silence_us)
+    return cut.groupBy(by, (F.col("segment") + 1).alias("session")).agg(F.count(F.lit(1)).alias("events"), F.min(at).alias("start_us"))
 
 
 def response_bucket(gap: Column) -> Column:
@@ -88,8 +98,6 @@ def response_histogram(gap_rows: DataFrame) -> DataFrame:
 
 def rank_percentiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row: the values at position ``floor(n * share)`` of the ascending values, by a distributed ranking."""
-    from lorebase.operators.ranking import with_position
-
     ranked = with_position(rows.select(F.lit(0).alias("_g"), F.col(value).alias("_v")).where("_v IS NOT NULL"), ["_g"], ["_v"], "_pos", "percentiles")
     n = ranked.agg(F.count(F.lit(1)).alias("_n"))
     at = ranked.join(F.broadcast(n), F.lit(True))  # one row
@@ -125,13 +133,33 @@ def session_statistics(events: DataFrame) -> DataFrame:
         first["t"].alias("first_prompt"),
         F.count_distinct(F.when(F.col("type") == "file-history-snapshot", F.get_json_object("content", "$.fileId"))).alias("files_modified"),
     ).where("start_us IS NOT NULL")
-    calls = tool_calls(events.where(assistant | (F.col("type") == "tool_call"))).withColumn("language", X.language_of(F.col("path")))
-    marks = calls.groupBy("session_id").agg(F.count_if((F.col("name") == "Bash") & F.col("command").rlike(SHELL_MISUSE)).alias("shell_misuses"), F.count_if(F.col("name") == "Task").alias("task_calls"), F.count_if(F.col("name") == "TodoWrite").alias("todo_calls"), F.count_if(F.col("name") == "Read").alias("reads"), F.count_if(F.col("name").isin("Edit", "Write", "MultiEdit")).alias("edits"))
-    skills = events.where(user).select("session_id", F.explode(X.slash_commands(X.without_elements(plain_text(F.col("content"))))).alias("skill")).groupBy("session_id").agg(F.count(F.lit(1)).alias("skill_calls"))
-    gap = gaps(events.where(user & F.col("at").isNotNull()), "session_id", "at").groupBy("session_id").agg(F.count(F.lit(1)).alias("responses"), F.count_if(F.col("gap") < 5).alias("interruptions"))
-    out = base
-    for other in (marks, skills, gap, count_map(calls, "session_id", "name", "tool_counts"), count_map(calls, "session_id", "language", "languages"), count_map(tool_failures(events), "session_id", "class", "tool_errors"), count_map(events.where(assistant), "session_id", "model", "models"), primary(events.where(assistant & (F.col("model") != "")), "session_id", "model", "event_id").select("session_id", F.col("model").alias("primary_model"))):
-        out = out.join(other, "session_id", "left")
+    # everything that is counted by a key, in one pass: (kind, key) of each block, model and command
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    made = assistant | (F.col("type") == "tool_call")
+
+    def keys(b: Column) -> Column:
+        name, used = F.coalesce(b["name"], F.lit("unknown")), made & (b["type"] == "tool_use")
+        shell = used & (name == "Bash") & F.coalesce(b["input"]["command"].rlike(SHELL_MISUSE), F.lit(False))
+        language = X.language_of(F.coalesce(b["input"]["file_path"], b["input"]["path"]))
+        failed = (b["type"] == "tool_result") & F.coalesce(b["is_error"], F.lit(False))
+        return F.array(F.when(used, pair("tool", name)), F.when(used & language.isNotNull(), pair("language", language)), F.when(shell, pair("shell", F.lit(""))), F.when(failed, pair("error", error_class(F.coalesce(b["content"], F.lit(""))))))
+
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    skills = F.transform(X.slash_commands(X.without_elements(plain_text(F.col("content")))), lambda s: pair("skill", s))
+    every = F.concat(F.coalesce(F.flatten(F.transform(blocks(F.col("content")), keys)), none), F.coalesce(F.when(user, skills), none), F.array(F.when(assistant & F.col("model").isNotNull(), pair("model", F.col("model")))))
+    counted = events.select("session_id", "event_id", F.explode(F.array_compact(every)).alias("p")).groupBy("session_id", "p.kind", "p.key").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    listed = counted.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("kind", "key", "n", "first"))).alias("k"))
+    of = lambda kind: F.filter("k", lambda x: x["kind"] == kind)
+    as_map = lambda kind: F.when(F.size(of(kind)) > 0, F.map_from_entries(F.transform(of(kind), lambda x: F.struct(x["key"], x["n"]))))
+    total = lambda kind: F.aggregate(of(kind), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    count = lambda *names: F.aggregate(F.filter(of("tool"), lambda x: x["key"].isin(*names)), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    models = F.transform(F.filter(of("model"), lambda x: x["key"] != ""), lambda x: F.struct(x["n"].alias("n"), (-x["first"]).alias("f"), x["key"].alias("key")))
+    keyed = listed.select(
+        "session_id", total("shell").alias("shell_misuses"), count("Task").alias("task_calls"), count("TodoWrite").alias("todo_calls"), count("Read").alias("reads"), count("Edit", "Write", "MultiEdit").alias("edits"), total("skill").alias("skill_calls"),
+        as_map("tool").alias("tool_counts"), as_map("language").alias("languages"), as_map("error").alias("tool_errors"), as_map("model").alias("models"), F.array_max(models)["key"].alias("primary_model"),
+    )
+    gap = gaps(events.where(user), "session_id", "at").groupBy("session_id").agg(F.count(F.lit(1)).alias("responses"), F.count_if(F.col("gap") < 5).alias("interruptions"))
+    out = base.join(keyed, "session_id", "left").join(gap, "session_id", "left")
     out = out.fillna(0, ["shell_misuses", "task_calls", "todo_calls", "reads", "edits", "skill_calls", "responses", "interruptions"]).fillna({"primary_model": "unknown", "first_prompt": ""})
     return out.withColumns({
         "duration_minutes": F.bround((F.col("end_us") - F.col("start_us")) / 6e7, 1),

@@ -1,6 +1,5 @@
 """Queries: usage analytics. Events are taken once per event_id."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import numbers as N
@@ -171,7 +170,5 @@ def usage_totals(spark, folder):
 
 @query("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s) SELECT user_id, s::BIGINT AS session, count(*) AS events, epoch_us(min(ts)) AS start_us FROM g GROUP BY 1, 2")
 def gap_sessions(spark, folder):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("n", F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL 6 HOUR"), 0).otherwise(1))
-    e = e.withColumn("session", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"), F.unix_micros(F.min("ts")).alias("start_us"))
+    e = table(spark, folder, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    return U.sessions_by_silence(e, "user_id", "at", "event_id", 6 * 3600 * 1_000_000)

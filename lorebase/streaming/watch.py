@@ -41,11 +41,10 @@ def watch(spark: SparkSession, root: str, checkpoint: str, publish: Callable[[Da
 
     def tick(_: DataFrame, __: int) -> None:
         now = fingerprint(spark, root)
-        try:
-            before = spark.read.text(mark).first()[0]
-        except Exception:
-            before = None
-        if now != before:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mark)
+        there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        last = spark.read.text(mark).first() if there else None  # a mark that can't be read is an error, not a change
+        if last is None or now != last[0]:
             publish(*graph_of(spark, root))
             spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(mark)
 

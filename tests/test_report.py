@@ -102,3 +102,35 @@ def test_merge_prompts_are_bounded(spark):
     rows = spark.createDataFrame([("s", i, f"n{i}") for i in range(50)] + [("t", 1, None)], "src string, at int, text string")
     got = P.merge_prompts(rows, "src", "at", "text", 3).collect()
     assert [tuple(r) for r in got] == [("s", "### Note 1\nn0\n\n### Note 2\nn1\n\n### Note 3\nn2", 47)]
+
+
+def test_upsert_survives_a_cut(spark, tmp_path):
+    import os
+
+    from lorebase.sources import sinks
+
+    path = f"{tmp_path}/t"
+    sinks.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, ["k"])
+    os.rename(path, path + ".old")  # a run that ended between the two renames
+    sinks.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), path, ["k"])
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c"), (3, "d")} and os.listdir(tmp_path) == ["t"]
+
+
+def test_files_keep_their_folders(spark, tmp_path):
+    from lorebase.sources import sinks
+
+    rows = spark.createDataFrame([("a/b/x.md", "one"), ("../out.md", "two"), ("y.md", None), (None, "z")], "name string, markdown string")
+    got = {r["name"]: r["state"] for r in sinks.write_texts(rows, f"{tmp_path}/d").collect()}
+    assert got == {"a/b/x.md": "written", "../out.md": "refused", "y.md": "written"} and (tmp_path / "d/a/b/x.md").read_text() == "one"
+    captures = spark.createDataFrame([("---\nurl_hash: " + spark.range(1).select(sinks.url_hash(F.lit("https://a.example"))).first()[0] + "\n---\nx",), ("no front matter",)], "text string")
+    assert [r["url"] for r in sinks.captured(spark.createDataFrame([("https://a.example",), ("https://b.example",)], "url string"), captures).collect()] == ["https://b.example"]
+
+
+def test_silences_and_segments_of_a_hot_group(spark):
+    from lorebase.operators import usage as U
+
+    rows = [("hot", i * 1_000_000 + (i // 500) * 10_000_000_000) for i in range(3000)] + [("cold", 5), ("cold", None), (None, 7)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, at long, id long")
+    assert U.gaps(df, "g", "at", 0.5, 2.0).count() == 3000 - 6
+    got = {(r["g"], r["session"]): r["events"] for r in U.sessions_by_silence(df.where("g IS NOT NULL"), "g", "at", "id", 5_000_000).collect()}
+    assert got == {**{("hot", k): 500 for k in range(1, 7)}, ("cold", 1): 1}
