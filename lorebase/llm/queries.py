@@ -53,7 +53,7 @@ def p2_channels(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     records = cooccurrence.tag_records(table(spark, folder, "pages"), table(spark, folder, "nodes"))
-    return cooccurrence.together(records).withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
+    return cooccurrence.together(records).withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"}).withColumns({c: F.round(c, 6) for c in ("lift", "pmi")})
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,6 +143,8 @@ pos AS (SELECT *, row_number() OVER w AS pos, lead(who) OVER w AS nxt FROM msg W
 keep AS (SELECT session_id FROM pos GROUP BY 1 HAVING bool_and(CASE WHEN who = 'user' THEN coalesce(nxt = 'assistant', false) ELSE true END) AND min_by(who, pos) = 'user')
 SELECT session_id, pos, event_id FROM pos WHERE session_id IN (SELECT session_id FROM keep)"""
 
+_LIFTS = _PAIRS.replace("SELECT two.src, tag_a, tag_b FROM", "SELECT two.src, tag_a, tag_b, a.c AS n_a, b.c AS n_b, n_ab, n, round(n_ab * n / (a.c::DOUBLE * b.c), 6) AS lift, round(log2(n_ab * n / (a.c::DOUBLE * b.c)), 6) AS pmi FROM")
+
 _SEGMENTS = r"""WITH ev AS (SELECT DISTINCT ON (event_id) event_id, ch, content, CASE WHEN lower(trim(type)) = 'message' THEN lower(trim(role)) ELSE lower(trim(type)) END AS who,
     CASE WHEN regexp_matches(trim(timestamp), '^\d{11,14}$') THEN trim(timestamp)::BIGINT * 1000 ELSE epoch_us(try_cast(timestamp AS TIMESTAMPTZ)) END AS ats
     FROM (SELECT *, max(coalesce('session ' || session_id, 'folder ' || cwd)) OVER (PARTITION BY event_id) AS ch FROM session_events) WHERE ch IS NOT NULL AND event_id IS NOT NULL ORDER BY event_id),
@@ -167,4 +169,4 @@ SELECT ch AS channel, segment::INT AS segment, pos, event_id, who AS speaker FRO
 _OVER = f"""WITH {_CURRENT.replace("tags DESC NULLS LAST", "length(content) DESC NULLS LAST")} SELECT 'pages' AS src, path AS item_key FROM cur WHERE length(content) > 6000
 UNION ALL SELECT DISTINCT 'chunks', chunk_id::VARCHAR FROM chunks WHERE abs(end_page - start_page) + 1 > 20 AND chunk_id IS NOT NULL"""
 
-ORACLES = {"p2_found": _TALK, "p2_channels": _SEGMENTS, "p3_found": _PAIRS, "p5_found": _OVER}
+ORACLES = {"p2_found": _TALK, "p2_channels": _SEGMENTS, "p3_found": _PAIRS, "p3_pairs": _LIFTS, "p5_found": _OVER}
