@@ -153,6 +153,9 @@ class Tagger:
         for a, b, words, before, behind, known in candidates(text, low, given, self.given):
             if (a, b) not in seen:
                 seen.add((a, b))
+                # two ordinary words, neither a known given name nor a form of address: the commonest span by far
+                if not known and len(words) == 2 and not is_title(words[0]) and self.level(words[0].lower()) == 4 == self.level(words[1].lower()):
+                    continue
                 s = self.score(features(text, a, b, words, before, behind, known, self.level))
                 if s + (KNOWN if known or is_title(words[0]) else 0.0) > self.threshold:
                     scored.append((s, a, b))

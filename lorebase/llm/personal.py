@@ -55,7 +55,8 @@ _DOT = r"(?:\.|[ \t]?[\[({<][ \t]?(?:dot|punkt|punto|point)[ \t]?[\])}>][ \t]?|[
 EMAIL = re.compile(rf"(?<![\w.@/:+-])(?:mailto:)?(?P<box>[A-Za-zÀ-ÿ0-9][\w.+'-]{{0,63}}){_AT}(?P<host>[A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}{_TLD})(?![\w@]|:[\w~/.])", re.I)
 EMAIL_WORDS = re.compile(rf"(?<![\w.@/:+-])(?:mailto:)?(?P<box>[A-Za-z0-9][\w.+'-]{{1,63}})[ \t]+(?:at|arroba)[ \t]+(?P<host>[A-Za-z0-9-]+(?:[ \t](?:dot|punkt|punto|point)[ \t][A-Za-z0-9-]+)+)(?!\w)", re.I)
 
-NUMBER = re.compile(r"(?<![\w.,:/@#-])(?:\+|\(\+?)?\d[\d \t()./\u00a0-]{5,24}\d(?:[ \t]*(?:ext\.?|x|Durchwahl|poste)[ \t]*\d{1,5})?(?![\w@])(?![.,:/-]\d)")
+# the first character stands before the look behind it, so that the search can skip to it
+NUMBER = re.compile(r"[+(\d](?<![\w.,:/@#-].)(?:(?<=\()\+?\d|(?<=\+)\d|(?<=\d))[\d \t()./\u00a0-]{5,24}\d(?:[ \t]*(?:ext\.?|x|Durchwahl|poste)[ \t]*\d{1,5})?(?![\w@])(?![.,:/-]\d)")
 _PHONES = [
     r"\+[1-9][\d \t()./\u00a0-]{7,20}\d",
     r"00[1-9]\d[ \t./-][\d \t()./-]{6,16}\d",
@@ -70,7 +71,7 @@ ID_WORDS = ("ssn", "social security", "social", "tax id", "tax number", "taxpaye
 ID_AFTER = re.compile(
     r"(?:[ \t]*(?:card|number|no\.?|nr\.?|nº|n°|num\.?|numéro|número|nummer|id|code|security number|is|was|lautet|es|est|:|=|#|\"|'|\\|\(|\[|\||-|,)){0,7}[ \t]*"
     r"(?P<id>(?:[A-Z]{1,3}[ -]?)?\d[\dA-Z]*(?:[ ./-]\d[\dA-Z]*){0,5}(?:[ -]?[A-Z](?![A-Za-z]))?)", re.I)
-ID_SHAPES = re.compile(r"(?<![\w.-])(?:(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}|[A-CEGHJ-PR-TW-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]|\d{8}-[A-HJ-NP-TV-Z]|Z[A-Z]-\d{3}-\d{4}-\d{2})(?![\w-])")
+ID_SHAPES = re.compile(r"[\dA-Z](?<![\w.-].)(?:(?<=\d)\d\d(?<!000)(?<!666)-(?!00)\d{2}-(?!0000)\d{4}|(?<=[A-CEGHJ-PR-TW-Z])[A-CEGHJ-PR-TW-Z][ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]|(?<=\d)\d{7}-[A-HJ-NP-TV-Z]|(?<=Z)[A-Z]-\d{3}-\d{4}-\d{2})(?![\w-])")
 
 _NAMED = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _STREET = r"(?:street|road|lane|avenue|ave|drive|boulevard|blvd|rd|court|crescent|terrace|square|close|way|row|gardens|mews|parkway|highway)"
