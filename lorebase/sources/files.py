@@ -68,12 +68,25 @@ def object_ledger(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode(F.from_json("value", "map<string, struct<date:string,hash:string,note:string>>")).alias("key", "v")).select("key", "v.*")
 
 
-def session_lines(spark: SparkSession, roots: list[str]) -> DataFrame:
+def existing(spark: SparkSession, roots: list[str]) -> list[str]:
+    """The roots that exist."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return [r for r in roots if (p := jvm.org.apache.hadoop.fs.Path(r)).getFileSystem(conf).exists(p)]
+
+
+def session_lines(spark: SparkSession, roots: list[str], depth: int | None = None) -> DataFrame:
     """``session_id, line_no, value`` of JSONL files below the roots, without sub-agents' files and lines that aren't JSON.
 
-    ``line_no`` increases within a file; the value is a VARIANT.
+    ``line_no`` increases within a file; the value is a VARIANT. Roots that are missing are skipped; ``depth``: only
+    files in folders so many levels below their root.
     """
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(roots)
+    there = existing(spark, roots)
+    if not there:
+        return spark.createDataFrame([], "session_id string, line_no long, value string").select("session_id", "line_no", F.try_parse_json("value").alias("value"))
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(there)
+    if depth is not None:
+        shortest = F.array_min(F.array(*[F.size(F.split(relative(F.col("_metadata.file_path"), root), "/")) for root in there]))
+        df = df.where(shortest == depth + 1)
     rows = df.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.try_parse_json("value").alias("value"))
     rows = rows.where(F.col("value").isNotNull() & ~F.contains("file", F.lit("/subagents/")))
     return rows.select(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("session_id"), "line_no", "value")
@@ -139,6 +152,32 @@ def pdf_pages(spark: SparkSession, root: str) -> DataFrame:
     return df.mapInPandas(run, "path string, page int, text string")
 
 
+def page_counts(pages: DataFrame) -> DataFrame:
+    """``path, pages`` of ``pdf_pages``: the number of the last page with text."""
+    return pages.groupBy("path").agg(F.max("page").alias("pages"))
+
+
+def page_range(pages: DataFrame, first: int = 1, last: int = 10) -> DataFrame:
+    """``path, text``: the pages ``first`` to ``last``, both included, joined by form feeds; by default those that can
+    hold a table of contents. A path without text there has no row."""
+    some = pages.where(F.col("page").between(first, last)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return some.select("path", F.array_join(F.transform("p", lambda x: x["text"]), "\f").alias("text"))
+
+
+def code_tree(root: str, entries: int = 30, lines: int = 100) -> str:
+    """A folder for a prompt: its first entries by name, folders first, and the first lines of its README."""
+    from pathlib import Path
+
+    top = Path(root)
+    found = sorted(top.iterdir(), key=lambda p: (not p.is_dir(), p.name))[:entries]
+    out = [f"{top.name}/", *(f"{'  ' if p.is_file() else '  [dir] '}{p.name}" for p in found)]
+    readme = next((p for end in (".md", ".rst", ".txt", "") if (p := top / f"README{end}").is_file()), None)
+    if readme:
+        with readme.open(encoding="utf-8", errors="replace") as f:
+            out += ["", "--- README ---", *(line.rstrip("\n") for _, line in zip(range(lines), f))]
+    return "\n".join(out)
+
+
 def tail(lines: DataFrame, order: str, n: int = 200) -> DataFrame:
     return lines.orderBy(F.desc(order)).limit(n)
 

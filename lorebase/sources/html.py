@@ -94,7 +94,8 @@ def extracted(html: pd.Series) -> pd.DataFrame:
 
 
 def captures(pages: DataFrame, day: str) -> DataFrame:
-    """``url, url_hash, domain, title, markdown`` of ``url, html`` rows, ready to be written; null html is empty."""
+    """``url, url_hash, domain, title, markdown`` of ``url, html`` rows, ready to be written; null html is empty. Where the
+    rows have a ``content_type``, only those whose type holds ``html`` are captured."""
     from lorebase.functions.hashing import url_hash
     from lorebase.functions.text import url_host
 
@@ -102,6 +103,8 @@ def captures(pages: DataFrame, day: str) -> DataFrame:
         for b in batches:
             yield pd.concat([b[["url"]].reset_index(drop=True), extracted(b["html"])], axis=1)
 
+    if "content_type" in pages.columns:
+        pages = pages.where(F.contains(F.lower("content_type"), F.lit("html")))
     rows = pages.select("url", "html").mapInPandas(run, "url string, title string, body string")
     rows = rows.withColumn("domain", url_host(F.col("url"))).withColumn("url_hash", url_hash(F.col("url")))
     head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("url: "), F.col("url")), F.concat(F.lit("url_hash: "), F.col("url_hash")), F.concat(F.lit("domain: "), F.col("domain")), F.lit(f"date: {day}"), F.lit("tags: [web, reference]"), F.lit("---\n"))

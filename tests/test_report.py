@@ -134,3 +134,20 @@ def test_silences_and_segments_of_a_hot_group(spark):
     assert U.gaps(df, "g", "at", 0.5, 2.0).count() == 3000 - 6
     got = {(r["g"], r["session"]): r["events"] for r in U.sessions_by_silence(df.where("g IS NOT NULL"), "g", "at", "id", 5_000_000).collect()}
     assert got == {**{("hot", k): 500 for k in range(1, 7)}, ("cold", 1): 1}
+
+
+def test_roots_depth_types_and_trees(spark, tmp_path):
+    from lorebase.sources import files, html
+
+    for name in ("a/one.jsonl", "a/b/two.jsonl", "three.jsonl"):
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text('{"type": "user"}\nnot json\n')
+    found = lambda **k: sorted(r["session_id"] for r in files.session_lines(spark, [f"{tmp_path}/r", f"{tmp_path}/missing"], **k).collect())
+    assert found() == ["one", "three", "two"] and found(depth=1) == ["one"] and files.session_lines(spark, [f"{tmp_path}/none"]).count() == 0
+    (tmp_path / "r/README.md").write_text("\n".join(f"l{i}" for i in range(200)))
+    tree = files.code_tree(f"{tmp_path}/r", 2, 3).split("\n")
+    assert tree == ["r/", "  [dir] a", "  README.md", "", "--- README ---", "l0", "l1", "l2"]
+    pages = spark.createDataFrame([("https://a.example", "<p>text that is long enough</p>", "Text/HTML; charset=utf-8"), ("https://b.example", "x", "application/pdf"), ("https://c.example", "x", None)], "url string, html string, content_type string")
+    assert [r["url"] for r in html.captures(pages, "2026-01-01").collect()] == ["https://a.example"]
+    text = spark.createDataFrame([("x.pdf", 12, "late"), ("x.pdf", 2, "b"), ("x.pdf", 1, "a"), ("y.pdf", 11, "z")], "path string, page int, text string")
+    assert [tuple(r) for r in files.page_range(text).collect()] == [("x.pdf", "a\fb")] and {tuple(r) for r in files.page_counts(text).collect()} == {("x.pdf", 12), ("y.pdf", 11)}
