@@ -44,8 +44,10 @@ def together(records: DataFrame, least_count: int = 3, least_share: float = 0.00
     # sizes are bounded by the thresholds, not by the corpus: one row per source, each with its frequent items
     kept = frequent.groupBy("src").agg(F.collect_list("item").alias("_frequent"))
     slim = base.join(F.broadcast(kept), "src").select("src", F.array_intersect("items", "_frequent").alias("items")).where(F.size("items") > 1)
-    later = F.flatten(F.transform("items", lambda a, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda b: F.struct(a.alias("item_a"), b.alias("item_b")))))
-    pairs = slim.select("src", F.explode(later).alias("p")).groupBy("src", "p.item_a", "p.item_b").agg(F.count(F.lit(1)).alias("n_ab"))
+    # an item at a time with those behind it: never more than a basket's items in a row
+    each = slim.select("src", "items", F.posexplode("items").alias("i", "item_a"))
+    behind = each.select("src", "item_a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("item_b"))
+    pairs = behind.groupBy("src", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
     a = frequent.select("src", F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), "n")
     b = frequent.select("src", F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
     found = pairs.where((F.col("n_ab") >= least_count)).join(a, ["src", "item_a"]).join(b, ["src", "item_b"])

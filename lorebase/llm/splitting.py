@@ -6,6 +6,7 @@ Only oversized items reach Python, one at a time; everything else stays a single
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,9 +48,29 @@ def _between(at: list[int], low: float, high: float) -> range:
     return range(bisect_left(at, low), bisect_right(at, high))
 
 
-def spans(size: int, limit: int, overlap: int, at: list[int], strength: list[int], overlap_start) -> list[tuple[int, int]]:
+_ZWJ = "\u200d"
+
+
+def _inside(text: str, at: int) -> bool:
+    """Whether a position lies within what is seen as one character."""
+    c, before = text[at], text[at - 1]
+    return bool(unicodedata.combining(c)) or c in (_ZWJ, "\ufe0e", "\ufe0f") or "\U0001f3fb" <= c <= "\U0001f3ff" or before == _ZWJ or (before == "\r" and c == "\n")
+
+
+def unbroken(text: str, at: int, step: int, bound: int) -> int:
+    """The position nearest to ``at``, up to ``bound`` in the direction of ``step``, that cuts no seen character; ``at`` itself if there is none."""
+    place = at
+    while place != bound and 0 < place < len(text) and _inside(text, place):
+        place += step
+    return at if 0 < place < len(text) and _inside(text, place) else place
+
+
+def spans(size: int, limit: int, overlap: int, at: list[int], strength: list[int], overlap_start, even=lambda place, floor: place) -> list[tuple[int, int]]:
     """Balanced spans [start, end) covering 0..size, each at most ``limit`` long.
 
+    ``overlap_start(cut, previous cut)`` says where a span begins, ``even(place, previous cut)`` where to cut near a
+    target without any boundary. ValueError if no count of spans keeps the limit (one below 1).
+
     The least count that could do is tried first: equal targets, each moved to the strongest boundary within a fifth of
     a piece (ties: the nearest), or left in place where there is none; while a span exceeds the limit, the count grows.
     """
@@ -62,11 +83,13 @@ def spans(size: int, limit: int, overlap: int, at: list[int], strength: list[int
         for i in range(1, count):
             target = i * step
             near = [j for j in _between(at, target - step / 5, target + step / 5) if at[j] > cuts[-1]]
-            cuts.append(at[max(near, key=lambda j: (strength[j], -abs(at[j] - target)))] if near else max(round(target), cuts[-1] + 1))
+            cuts.append(at[max(near, key=lambda j: (strength[j], -abs(at[j] - target)))] if near else even(max(round(target), cuts[-1] + 1), cuts[-1] + 1))
         cuts.append(size)
         found = [(overlap_start(cuts[i], cuts[i - 1]) if i else 0, cuts[i + 1]) for i in range(count)]
-        if all(b - a <= limit for a, b in found) or step <= 1:
+        if all(b - a <= limit for a, b in found):
             return found
+        if step <= 1:
+            raise ValueError(f"pieces of {limit} with an overlap of {overlap} can't cover {size}")
         count += 1
 
 
@@ -83,9 +106,9 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         if len(inside):
             return at[inside[0]]
         # no unit begins there: a text without any boundary overlaps by characters, otherwise no whole unit fits
-        return cut if len(_between(at, cut, cut)) else low
+        return cut if len(_between(at, cut, cut)) else unbroken(text, low, 1, cut)
 
-    return spans(len(text), limit, overlap, at, strength, back)
+    return spans(len(text), limit, overlap, at, strength, back, lambda place, floor: unbroken(text, place, -1, floor))
 
 
 def split_pages(pages: list[int], first: int, last: int, limit: int, overlap: int) -> list[tuple[int, int]]:

@@ -156,3 +156,19 @@ def test_distinct_over_all_rows(spark):
     found = {r["kind"]: r for r in P.distinctness(P.redact(rows, "k")).collect()}
     assert {"email", "phone", "name"} <= set(found) and all(r["merged"] == r["split"] == 0 and r["items"] == r["surrogates"] for r in found.values())
     assert found["email"]["items"] == 300 and P.distinctness(P.redact(rows.limit(0), "k")).count() == 0
+
+
+def test_whole_tables_round_trip(spark, folder):
+    from lorebase.llm.queries import QUERIES
+
+    found = {tuple(r) for r in QUERIES["p1_found"](spark, folder).collect()}
+    made = QUERIES["p1_surrogates"](spark, folder).collect()
+    assert {(r["src"], r["field"], r["record_key"], k) for r in made for k in r["kinds"]} == found
+    r = P.Redactor("another")
+    for row in made:
+        if row["kinds"]:  # what stands for an item is of its kind
+            assert set(row["kinds"]) - {"id_number"} <= {k for k, _ in r(row["text"])[1]}
+    names = {P.PLACEHOLDER[k]: k for k in P.KINDS}
+    shown = {(p["src"], p["field"], p["record_key"], k) for p in QUERIES["p1_placeholders"](spark, folder).collect() for mark, k in names.items() if mark in (p["text"] or "")}
+    assert shown == found
+    assert all(row["merged"] == row["split"] == 0 for row in QUERIES["p1_distinct"](spark, folder).collect())

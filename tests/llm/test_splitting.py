@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from lorebase.llm import splitting as S
 
-ALPHABET = st.sampled_from(["word ", "Ende. ", "\n", "\n\n", "\n# Head\n", "\r\n", "x" * 30, "é漢🙂", "```\ncode\n```\n", "。"])
+ALPHABET = st.sampled_from(["word ", "Ende. ", "\n", "\n\n", "\n# Head\n", "\r\n", "x" * 30, "é漢🙂", "👩‍👩‍👧", "e\u0301", "```\ncode\n```\n", "。"])
 
 
 @settings(max_examples=200, deadline=None)
@@ -56,3 +56,33 @@ def test_tables_with_odd_rows(spark):
         rows.setdefault(r["item_key"], []).append((r["piece_no"], r["first"], r["last"]))
     assert sorted(rows["1"])[0][1] == 1 and sorted(rows["1"])[-1][2] == 40 and len(rows["1"]) == 3 and rows["2"] == [(1, None, 90)] and rows["3"] == [(1, 5, 24)]
     assert S.page_pieces(pages.limit(0)).count() == 0 and S.chunk_pieces(chunks.limit(0)).count() == 0
+
+
+def test_seen_characters_stay_whole():
+    for unit in ("👩‍👩‍👧‍👦", "e\u0301\u0323", "👍🏽", "☺\ufe0f"):
+        text = unit * 3000
+        parts = S.split_text(text, 997, 50)
+        assert len(parts) > 2 and all(a % len(unit) == 0 and b % len(unit) == 0 and b - a <= 997 for a, b in parts)
+    assert all(b - a <= 100 for a, b in S.split_text("\u0301" * 1000, 100, 10))
+
+
+def test_impossible_parameters_are_refused():
+    import pytest
+
+    with pytest.raises(ValueError):
+        S.split_text("x" * 100, 0, 0)
+
+
+def test_pieces_of_whole_tables(spark, folder):
+    from lorebase.llm.queries import QUERIES
+
+    rows = QUERIES["p5_pieces"](spark, folder).toPandas()
+    pages = rows[rows.src == "pages"]
+    big = {k: g.sort_values("piece_no") for k, g in pages[pages.n_pieces > 1].groupby("item_key")}
+    assert big and {("pages", k) for k in big} <= {tuple(r) for r in QUERIES["p5_found"](spark, folder).collect()}
+    for g in big.values():
+        assert list(g.piece_no) == list(range(1, len(g) + 1)) and set(g.n_pieces) == {len(g)} and g["first"].iloc[0] == 0
+        size, sizes = g["last"].max(), g["last"] - g["first"]
+        assert all(sizes <= 6000) and all(len(t) == n for t, n in zip(g.text, sizes)) and len(g) <= size // 5800 + 3
+        overlaps = g["last"].to_numpy()[:-1] - g["first"].to_numpy()[1:]
+        assert ((0 <= overlaps) & (overlaps <= 200)).all() and sizes.min() >= 0.55 * sizes.max()
