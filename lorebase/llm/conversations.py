@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.operators.ranking import FRAGMENT, MARK, ordered_fragments
+from lorebase.operators.ranking import FRAGMENT, MARK, ordered_fragments, segments, silences
 from lorebase.plans.staging import stage
 
 BLOCKS = "array<struct<type:string,text:string>>"
@@ -91,13 +91,10 @@ def calibrated_gap(rows: DataFrame, least_s: int = 1800) -> int | None:
 
     ``rows``: ordered fragments. Silences across the borders of fragments count. At most BINS rows come to the driver.
     """
-    inside = Window.partitionBy("channel", FRAGMENT).orderBy(MARK)
-    within = rows.where("at >= 0").select((F.col("at") - F.lag("at").over(inside)).alias("gap"))
-    ends = rows.where("at >= 0").groupBy("channel", FRAGMENT).agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    across = ends.select((F.col("a") - F.lag("b").over(Window.partitionBy("channel").orderBy(FRAGMENT))).alias("gap"))
+    gaps = silences(rows.where("at >= 0"), ["channel"], "at")
     # half a microsecond more, so that no silence lies on the border of two bins
     bins = F.floor(4 * F.log2((F.col("gap") + 0.5) / 1e6)).cast("int")
-    counted = within.unionByName(across).where("gap >= 1000000").groupBy(F.least(bins, F.lit(BINS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counted = gaps.where("gap >= 1000000").groupBy(F.least(bins, F.lit(BINS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     found = valley({r["b"]: r["n"] for r in counted.collect()}, int(4 * math.log2(max(1, least_s))))
     return None if found is None else max(least_s, int(2 ** (found / 4)))
 
@@ -118,18 +115,8 @@ def rebuild(events: DataFrame, channel: str | Column = "session_id", split: bool
     once = parsed.groupBy("channel", "speaker", F.coalesce("at", F.lit(-1)).alias("at"), "h1", "h2", bad.alias("bad")).agg(F.min("event_id").alias("event_id")).drop("h1", "h2")
     # written before the range partitioning, which looks at its input twice
     rows = ordered_fragments(stage(once, "parsed"), ["channel"], ["at", "event_id"], "messages")
-    inside = Window.partitionBy("channel", FRAGMENT).orderBy(MARK)
     gap = calibrated_gap(rows, least_s) if split else None
-    if gap is None:
-        rows = rows.withColumn("segment", F.lit(0).cast("long"))
-    else:
-        far = lambda later, earlier: F.coalesce((later - earlier > gap * 1_000_000).cast("int"), F.lit(0))
-        rows = rows.withColumn("_cut", far(F.col("at"), F.lag("at").over(inside))).withColumn("_part", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        along = Window.partitionBy("channel").orderBy(FRAGMENT)  # a row per range partition that the channel reaches
-        ends = rows.groupBy("channel", FRAGMENT).agg(F.min("at").alias("a"), F.max("at").alias("b"), F.sum("_cut").alias("cuts"))
-        ends = ends.withColumn("_new", far(F.col("a"), F.lag("b").over(along)) + F.coalesce(F.lag("cuts").over(along), F.lit(0)))
-        base = ends.select("channel", FRAGMENT, F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"))
-        rows = rows.join(base, ["channel", FRAGMENT]).withColumn("segment", F.col("_base") + F.col("_part")).drop("_cut", "_part", "_base")
+    rows = rows.withColumn("segment", F.lit(0).cast("long")) if gap is None else segments(rows, ["channel"], "at", gap * 1_000_000)
     talk = ["channel", "segment"]
     follows = F.lead("speaker").over(Window.partitionBy(*talk, FRAGMENT).orderBy(MARK))
     rows = rows.withColumn("_open", (F.col("speaker") == "user") & (follows == "user"))
