@@ -29,11 +29,11 @@ def node_degree(spark, folder):
 
 
 # links of other shapes (aliases, parts) than the pages have, made from lineitem; page_links and page_dead_links read the pages
-LINKS = """txt AS (SELECT id, '[[' || string_agg(t, ']] and [[' ORDER BY t) || ']]' AS content FROM (SELECT DISTINCT l_suppkey::VARCHAR AS id, CASE WHEN l_linenumber = 1 THEN (l_partkey % 120)::VARCHAR || '|alias' WHEN l_linenumber = 2 THEN (l_partkey % 120)::VARCHAR || '#part' ELSE (l_partkey % 120)::VARCHAR END AS t FROM lineitem) GROUP BY id)"""
+LINKS = """txt AS (SELECT id, '[[' || string_agg(t, ']] and [[' ORDER BY t) || ']]' AS content FROM (SELECT DISTINCT l_suppkey::VARCHAR AS id, CASE WHEN l_linenumber = 1 THEN l_partkey::VARCHAR || '|alias' WHEN l_linenumber = 2 THEN l_partkey::VARCHAR || '#part' ELSE l_partkey::VARCHAR END AS t FROM lineitem) GROUP BY id)"""
 
 
 def _texts(spark, folder):
-    t = (F.col("l_partkey") % 120).cast("string")
+    t = F.col("l_partkey").cast("string")
     rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").cast("string").alias("id"), F.when(F.col("l_linenumber") == 1, F.concat(t, F.lit("|alias"))).when(F.col("l_linenumber") == 2, F.concat(t, F.lit("#part"))).otherwise(t).alias("t")).distinct()
     return rows.groupBy("id").agg(F.concat(F.lit("[["), F.array_join(F.array_sort(F.collect_list("t")), "]] and [["), F.lit("]]")).alias("content"))
 
@@ -73,10 +73,10 @@ def page_dead_links(spark, folder):
     return links.join(hits, ["src", "target"], "left_anti").select("src", F.col("target").alias("dst"))
 
 
-@query("SELECT DISTINCT c_custkey::VARCHAR AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query("SELECT DISTINCT c_custkey::VARCHAR AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def lint_orphans(spark, folder):
     n = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("id"))
-    return G.orphans(n, table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("dst")))
+    return G.orphans(n, table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("dst")))
 
 
 @query(f"WITH {CURRENT}, d AS (SELECT path, CASE WHEN regexp_matches(trim(updated), '^\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}$') THEN try_cast(replace(trim(updated), '/', '-') AS DATE) END AS day FROM page) SELECT path, day::VARCHAR AS updated FROM d WHERE date_diff('day', day, DATE '2026-10-01') > 60")
@@ -124,12 +124,12 @@ def filter_expand(spark, folder):
     return G.neighbourhood(G.tag_edges(n), _seed(n), 1)
 
 
-@query("WITH l AS (SELECT DISTINCT (o_custkey % 200)::VARCHAR AS src, (o_orderkey % 211)::VARCHAR AS dst FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'), sym AS (SELECT src, dst FROM l UNION SELECT dst, src FROM l), one AS (SELECT '7' AS id UNION SELECT dst FROM sym WHERE src = '7'), two AS (SELECT id FROM one UNION SELECT dst FROM sym WHERE src IN (SELECT id FROM one)), sem AS (SELECT DISTINCT (s_suppkey % 50)::VARCHAR AS src, (s_nationkey + 100)::VARCHAR AS dst FROM supplier) SELECT id FROM two UNION SELECT dst FROM sem WHERE src = '7' UNION SELECT src FROM sem WHERE dst = '7'")
+@query(f"WITH {NODE}, {TAG_EDGES}, l AS (SELECT id AS src, 'folder ' || domain AS dst FROM node WHERE domain IS NOT NULL), sym AS (SELECT src, dst FROM l UNION SELECT dst, src FROM l), seed AS (SELECT min(id) AS id FROM node), one AS (SELECT id FROM seed UNION SELECT dst FROM sym WHERE src IN (SELECT id FROM seed)), two AS (SELECT id FROM one UNION SELECT dst FROM sym WHERE src IN (SELECT id FROM one)) SELECT id FROM two UNION SELECT dst FROM tag_edge WHERE src IN (SELECT id FROM seed) UNION SELECT src FROM tag_edge WHERE dst IN (SELECT id FROM seed)")
 def k_hop_focus(spark, folder):
-    o = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
-    links = o.select((F.col("o_custkey") % 200).cast("string").alias("src"), (F.col("o_orderkey") % 211).cast("string").alias("dst")).distinct()
-    sem = table(spark, folder, "supplier").select((F.col("s_suppkey") % 50).cast("string").alias("src"), (F.col("s_nationkey") + 100).cast("string").alias("dst")).distinct()
-    return G.focus(links, sem, spark.range(1).select(F.lit("7").alias("id")))
+    """The first node, its folder's nodes, and the nodes that share a tag with it."""
+    n = nodes(spark, folder)
+    inside = n.where("domain IS NOT NULL").select(F.col("id").alias("src"), F.concat(F.lit("folder "), F.col("domain")).alias("dst"))
+    return G.focus(inside, G.tag_edges(n).select("src", "dst"), n.agg(F.min("id").alias("id")))
 
 
 @query("""WITH l AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem), sym AS (SELECT src, dst FROM l UNION SELECT dst, src FROM l),

@@ -6,6 +6,7 @@ from lorebase.functions.hashing import content_hash
 from lorebase.functions.numbers import kilobytes
 from lorebase.operators import ledgers as L
 from lorebase.plans.catalogue import query, table
+from lorebase.plans.search import CURRENT, current, pages
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -13,15 +14,17 @@ def manifest_latest(spark, folder):
     return L.latest(table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-_H = "'sha256:' || left(sha256(coalesce(text, '')), 16)"
+_DAY = "2026-06-01"
+_H = "'sha256:' || left(sha256(coalesce(content, '')), 16)"
 
 
-@query(f"""WITH f AS (SELECT doc_id, {_H} AS hash FROM documents), l AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN hash || 'x' ELSE hash END AS hash FROM f WHERE doc_id % 5 <> 0)
-SELECT f.doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN f.hash <> l.hash THEN 'changed' ELSE 'unchanged' END AS status FROM f LEFT JOIN l USING (doc_id)""")
+@query(f"""WITH {CURRENT}, {CURRENT.replace('page AS', 'old AS').replace('FROM pages)', f"FROM pages WHERE updated < '{_DAY}')")}
+SELECT f.path, CASE WHEN l.hash IS NULL THEN 'new' WHEN f.hash <> l.hash THEN 'changed' ELSE 'unchanged' END AS status FROM (SELECT path, {_H} AS hash FROM page) f LEFT JOIN (SELECT path, {_H} AS hash FROM old) l USING (path)""")
 def manifest_status(spark, folder):
-    files = table(spark, folder, "documents").select("doc_id", content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
-    ledger = files.where("doc_id % 5 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")))
-    return L.status(files, ledger, "doc_id")
+    """The pages against the ledger of a day: what the pages were then."""
+    hashed = lambda rows: rows.select("path", content_hash(F.coalesce("content", F.lit(""))).alias("hash"))
+    ledger = current(table(spark, folder, "pages").where(F.col("updated") < _DAY))
+    return L.status(hashed(pages(spark, folder)), hashed(ledger), "path")
 
 
 @query("SELECT doc_id, path, round_even(n_chars / 1024.0::DOUBLE, 1) AS size_kb FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -41,12 +44,6 @@ def manifest_summary(spark, folder):
     return table(spark, folder, "documents").join(l, "doc_id", "left").agg(F.count("done").alias("ingested"), (F.count(F.lit(1)) - F.count("done")).alias("pending"), F.count_distinct("source").alias("sources"))
 
 
-@query("WITH n AS (SELECT doc_id, 'new' AS state FROM documents WHERE doc_id % 3 = 0), o AS (SELECT doc_id, 'old' AS state FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, state FROM n UNION ALL SELECT doc_id, state FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n)")
-def ledger_merge(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id")
-    return L.merged(d.where("doc_id % 2 = 0").withColumn("state", F.lit("old")), d.where("doc_id % 3 = 0").withColumn("state", F.lit("new")), ["doc_id"])
-
-
 @query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'rated' ELSE 'unrated' END AS state FROM documents UNION SELECT doc_id, 'rated' FROM labels WHERE doc_id IS NOT NULL")
 def label_merge(spark, folder):
     """All documents, replaced by the rated ones."""
@@ -60,10 +57,10 @@ def compare_full_outer(spark, folder):
     return L.compare(a, table(spark, folder, "issues").select(F.date_format("updated_at", "yyyy-MM-dd").alias("day")), "day")
 
 
-@query("SELECT day, o_orderkey FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey, row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1 AND day NOT IN (SELECT strftime(l_shipdate, '%Y-%m-%d') FROM lineitem WHERE l_quantity >= 40)")
+@query("SELECT day, o_orderkey FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey, row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1 AND day NOT IN (SELECT strftime(l_shipdate, '%Y-%m-%d') FROM lineitem)")
 def migrate_first_per_date(spark, folder):
     o = table(spark, folder, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderdate", "o_orderkey")
-    known = table(spark, folder, "lineitem").where("l_quantity >= 40").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    known = table(spark, folder, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
     return L.pending(L.first_per(o, ["day"], ["o_orderdate", "o_orderkey"]), known, "day").select("day", "o_orderkey")
 
 

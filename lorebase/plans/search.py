@@ -11,13 +11,16 @@ CURRENT = f"""page AS (SELECT * EXCLUDE (rn) FROM (SELECT path, title, tags, sum
 ORDER = ["updated", "content", "tags", "title"]
 
 
-def pages(spark, folder):
+def current(rows):
     """One row per path; the greatest of (updated, content, tags, title), nulls as empty texts."""
-    rows = table(spark, folder, "pages")
     best = F.max(F.struct(*[F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ORDER], "title", "tags", "summary", "updated", "content")).alias("b")
     return rows.groupBy("path").agg(best).select("path", "b.title", "b.tags", "b.summary", "b.updated", "b.content")
 
 
+def pages(spark, folder):
+    return current(table(spark, folder, "pages"))
+
+
 def _search_sql(text: str, scope: str = "", limit: int = 10) -> str:
     hit = lambda c: f"coalesce(contains(lower({c}), '{text}'), false)"
     at = f"strpos(lower(coalesce(content, '')), '{text}')"
