@@ -64,14 +64,14 @@ def semantic_edges(vectors: DataFrame, threshold: float = 0.65, key: str = "id",
     """Exact pairs of unit vectors with a cosine of at least ``threshold``: ``src, dst, score`` (3 digits).
 
     Vectors are cut into ``blocks`` blocks; each pair of blocks is one matrix product in one task, so memory is bounded
-    by two blocks; without ``blocks`` there are as many as the rows need at 2048 rows a block. Null vectors and keys have no edges. This compares
+    by two blocks; without ``blocks`` there are as many as the rows need at 2048 rows a block, six at least. Null vectors and keys have no edges. This compares
     everything with everything; ``similar_by_projection`` is for tables too large for that.
     """
     import numpy as np
     import pandas as pd
 
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v"))
-    blocks = blocks or max(1, -(-rows.count() // 2048))
+    blocks = blocks or max(6, -(-rows.count() // 2048))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y"))))
     spread = rows.select("id", "v", "block", cells.alias("cell")).select("id", "v", "block", "cell.x", "cell.y")

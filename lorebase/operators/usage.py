@@ -116,12 +116,9 @@ def overlaps(sessions: DataFrame, bucket_s: int = 86400) -> DataFrame:
     return open_.join(begun, "k").where(later & (F.col("b_start") <= F.col("a_stop"))).select("a", "b")
 
 
-def session_statistics(events: DataFrame) -> DataFrame:
-    """One row per session: counts, tokens, span, tools, errors, languages, files, first prompt, skills, signals.
-
-    Needs ``session_id, event_id, speaker, at`` (microseconds, null if unknown) ``, content, model, usage, type, cwd``. A
-    session without a user message of known time is left out. Ratios are null where the divisor is 0.
-    """
+def message_statistics(events: DataFrame) -> DataFrame:
+    """``session_id, project_path, start_us, end_us, user_messages, assistant_messages, input_tokens, output_tokens,
+    first_prompt, files_modified, duration_minutes`` by one aggregation; for the input see ``session_statistics``."""
     user, assistant = F.col("speaker") == "user", F.col("speaker") == "assistant"
     text = X.strip(X.without_elements(plain_text(F.col("content"))))
     first = F.min(F.when(user & (text != "") & F.col("at").isNotNull(), F.struct("at", "event_id", F.substring(text, 1, 200).alias("t"))))
@@ -133,6 +130,17 @@ def session_statistics(events: DataFrame) -> DataFrame:
         first["t"].alias("first_prompt"),
         F.count_distinct(F.when(F.col("type") == "file-history-snapshot", F.get_json_object("content", "$.fileId"))).alias("files_modified"),
     ).where("start_us IS NOT NULL")
+    return base.withColumn("duration_minutes", F.bround((F.col("end_us") - F.col("start_us")) / 6e7, 1))
+
+
+def session_statistics(events: DataFrame) -> DataFrame:
+    """One row per session: counts, tokens, span, tools, errors, languages, files, first prompt, skills, signals.
+
+    Needs ``session_id, event_id, speaker, at`` (microseconds, null if unknown) ``, content, model, usage, type, cwd``. A
+    session without a user message of known time is left out. Ratios are null where the divisor is 0.
+    """
+    user, assistant = F.col("speaker") == "user", F.col("speaker") == "assistant"
+    base = message_statistics(events)
     # everything that is counted by a key, in one pass: (kind, key) of each block, model and command
     pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     made = assistant | (F.col("type") == "tool_call")
@@ -162,7 +170,6 @@ def session_statistics(events: DataFrame) -> DataFrame:
     out = base.join(keyed, "session_id", "left").join(gap, "session_id", "left")
     out = out.fillna(0, ["shell_misuses", "task_calls", "todo_calls", "reads", "edits", "skill_calls", "responses", "interruptions"]).fillna({"primary_model": "unknown", "first_prompt": ""})
     return out.withColumns({
-        "duration_minutes": F.bround((F.col("end_us") - F.col("start_us")) / 6e7, 1),
         "output_tokens_per_msg": F.bround(F.try_divide("output_tokens", "assistant_messages"), 1),
         "read_edit_ratio": F.bround(F.try_divide("reads", "edits"), 2),
         "cost": N.cost(F.col("primary_model"), [F.col("input_tokens"), F.col("output_tokens"), F.lit(0), F.lit(0)]),

@@ -29,7 +29,7 @@ def events(spark, folder):
     count(DISTINCT CASE WHEN type = 'file-history-snapshot' AND json_valid(content) THEN content->>'fileId' END) AS files_modified
 FROM ev GROUP BY session_id HAVING min(ats) FILTER (speaker = 'user') IS NOT NULL""")
 def session_msg_stats(spark, folder):
-    return U.session_statistics(events(spark, folder)).select("session_id", "start_us", "user_messages", "assistant_messages", "input_tokens", "output_tokens", "duration_minutes", "files_modified")
+    return U.message_statistics(events(spark, folder)).select("session_id", "start_us", "user_messages", "assistant_messages", "input_tokens", "output_tokens", "duration_minutes", "files_modified")
 
 
 @query(f"WITH {BLOCKS} SELECT session_id, name, count(*) AS n FROM call GROUP BY 1, 2")
