@@ -25,7 +25,7 @@ from lorebase.llm.names import BUCKETS, TITLES, features, parts
 
 MOST = 120_000  # spans of the texts that are used, the first in the order of a hash
 ROUNDS = 6
-THRESHOLD = -1.9  # by names that were kept out of the training: the least that costs no precision on clean text
+THRESHOLD = -1.9  # chosen on names kept out of the training and on clean phrases: recall 0.95, 2 of 63 phrases marked
 
 # sentences with a person (N) or another capitalised thing (O), written for this training
 PERSON = """met with N about the rollout|N asked for a copy of the report|please contact N before Friday|Dear N,|thanks to N for the review|approved by N|written by N in March|Regards,\nN|N said that the test failed
