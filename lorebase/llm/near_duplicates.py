@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
+def _word_characters() -> np.ndarray:
+    """For each code point whether it belongs to words; made once in a worker."""
+    inside = np.zeros(0x110000, bool)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        for m in WORDS.finditer("".join(map(chr, range(low, high)))):
+            inside[low + m.start() : low + m.end()] = True
+    return inside
+
+
 class Shingler:
     """Distinct hashes of the ``k``-word shingles of a text.
 
@@ -62,13 +73,7 @@ class Shingler:
     _INVERSE = pow(_PRIME, -1, 1 << 64)
 
     def __init__(self, k: int):
-        self.k = k
-        self.inside = np.zeros(0x110000, bool)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for m in WORDS.finditer(every):
-            first, last = ord(m.group()[0]), ord(m.group()[-1])
-            self.inside[first : last + 1] = True
-        self.inside[0xD800:0xE000] = False
+        self.k, self.inside = k, _word_characters()
         self._powers(1 << 14)
 
     def _powers(self, n: int) -> None:
