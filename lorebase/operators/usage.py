@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorebase.functions import numbers as N
 from lorebase.functions import text as X
 from lorebase.operators.ranking import ordered_fragments, segments, silences, with_position
+from lorebase.plans.staging import stage
 
 BLOCK = "array<struct<type:string,name:string,text:string,is_error:boolean,content:string,input:struct<file_path:string,path:string,command:string>>>"
 # fixed values: shell commands for which there is a tool; bounds and names of response time buckets
@@ -116,23 +117,32 @@ def overlaps(sessions: DataFrame, bucket_s: int = 86400) -> DataFrame:
     return open_.join(begun, "k").where(later & (F.col("b_start") <= F.col("a_stop"))).select("a", "b")
 
 
-def message_statistics(events: DataFrame) -> DataFrame:
-    """``session_id, project_path, start_us, end_us, user_messages, assistant_messages, input_tokens, output_tokens,
-    first_prompt, files_modified, duration_minutes`` by one aggregation; for the input see ``session_statistics``."""
-    user, assistant = F.col("speaker") == "user", F.col("speaker") == "assistant"
+def _read(events: DataFrame, **more: Column) -> DataFrame:
+    """What the statistics need of each event, without its content."""
     text = X.strip(X.without_elements(plain_text(F.col("content"))))
-    first = F.min(F.when(user & (text != "") & F.col("at").isNotNull(), F.struct("at", "event_id", F.substring(text, 1, 200).alias("t"))))
-    base = events.groupBy("session_id").agg(
+    file = F.when(F.col("type") == "file-history-snapshot", F.get_json_object("content", "$.fileId"))
+    return events.select("session_id", "event_id", "speaker", "at", "cwd", "model", "usage", F.when(F.col("speaker") == "user", F.substring(text, 1, 200)).alias("_text"), file.alias("_file"), *[c.alias(name) for name, c in more.items()])
+
+
+def _summed(read: DataFrame) -> DataFrame:
+    user, assistant = F.col("speaker") == "user", F.col("speaker") == "assistant"
+    first = F.min(F.when((F.col("_text") != "") & F.col("at").isNotNull(), F.struct("at", "event_id", F.col("_text").alias("t"))))
+    base = read.groupBy("session_id").agg(
         F.min("cwd").alias("project_path"), F.min(F.when(user, F.col("at"))).alias("start_us"), F.max(F.when(user, F.col("at"))).alias("end_us"),
         F.count_if(user).alias("user_messages"), F.count_if(assistant).alias("assistant_messages"),
         F.sum(F.when(assistant, F.coalesce("usage.input_tokens", F.lit(0))).otherwise(0)).alias("input_tokens"),
         F.sum(F.when(assistant, F.coalesce("usage.output_tokens", F.lit(0))).otherwise(0)).alias("output_tokens"),
-        first["t"].alias("first_prompt"),
-        F.count_distinct(F.when(F.col("type") == "file-history-snapshot", F.get_json_object("content", "$.fileId"))).alias("files_modified"),
+        first["t"].alias("first_prompt"), F.count_distinct("_file").alias("files_modified"),
     ).where("start_us IS NOT NULL")
     return base.withColumn("duration_minutes", F.bround((F.col("end_us") - F.col("start_us")) / 6e7, 1))
 
 
+def message_statistics(events: DataFrame) -> DataFrame:
+    """``session_id, project_path, start_us, end_us, user_messages, assistant_messages, input_tokens, output_tokens,
+    first_prompt, files_modified, duration_minutes`` by one aggregation; for the input see ``session_statistics``."""
+    return _summed(_read(events))
+
+
 def session_statistics(events: DataFrame) -> DataFrame:
     """One row per session: counts, tokens, span, tools, errors, languages, files, first prompt, skills, signals.
 
@@ -140,7 +150,6 @@ def session_statistics(events: DataFrame) -> DataFrame:
     session without a user message of known time is left out. Ratios are null where the divisor is 0.
     """
     user, assistant = F.col("speaker") == "user", F.col("speaker") == "assistant"
-    base = message_statistics(events)
     # everything that is counted by a key, in one pass: (kind, key) of each block, model and command
     pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     made = assistant | (F.col("type") == "tool_call")
@@ -155,7 +164,10 @@ def session_statistics(events: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,key:string>>")
     skills = F.transform(X.slash_commands(X.without_elements(plain_text(F.col("content")))), lambda s: pair("skill", s))
     every = F.concat(F.coalesce(F.flatten(F.transform(blocks(F.col("content")), keys)), none), F.coalesce(F.when(user, skills), none), F.array(F.when(assistant & F.col("model").isNotNull(), pair("model", F.col("model")))))
-    counted = events.select("session_id", "event_id", F.explode(F.array_compact(every)).alias("p")).groupBy("session_id", "p.kind", "p.key").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    # written once, without the contents: three aggregations read it
+    read = stage(_read(events, _keys=F.array_compact(every)), "session-events")
+    base = _summed(read)
+    counted = read.select("session_id", "event_id", F.explode("_keys").alias("p")).groupBy("session_id", "p.kind", "p.key").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
     listed = counted.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("kind", "key", "n", "first"))).alias("k"))
     of = lambda kind: F.filter("k", lambda x: x["kind"] == kind)
     as_map = lambda kind: F.when(F.size(of(kind)) > 0, F.map_from_entries(F.transform(of(kind), lambda x: F.struct(x["key"], x["n"]))))
@@ -166,7 +178,7 @@ def session_statistics(events: DataFrame) -> DataFrame:
         "session_id", total("shell").alias("shell_misuses"), count("Task").alias("task_calls"), count("TodoWrite").alias("todo_calls"), count("Read").alias("reads"), count("Edit", "Write", "MultiEdit").alias("edits"), total("skill").alias("skill_calls"),
         as_map("tool").alias("tool_counts"), as_map("language").alias("languages"), as_map("error").alias("tool_errors"), as_map("model").alias("models"), F.array_max(models)["key"].alias("primary_model"),
     )
-    gap = gaps(events.where(user), "session_id", "at").groupBy("session_id").agg(F.count(F.lit(1)).alias("responses"), F.count_if(F.col("gap") < 5).alias("interruptions"))
+    gap = gaps(read.where(user), "session_id", "at").groupBy("session_id").agg(F.count(F.lit(1)).alias("responses"), F.count_if(F.col("gap") < 5).alias("interruptions"))
     out = base.join(keyed, "session_id", "left").join(gap, "session_id", "left")
     out = out.fillna(0, ["shell_misuses", "task_calls", "todo_calls", "reads", "edits", "skill_calls", "responses", "interruptions"]).fillna({"primary_model": "unknown", "first_prompt": ""})
     return out.withColumns({
