@@ -118,10 +118,36 @@ def symmetric(edges: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, degree, size``: both directions, repeated and self edges counted; size is 25 + 5 per edge, at most 75."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    d = nodes.select("id").distinct().join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return _sized(nodes.select("id").distinct().join(ends, "id", "left"))
+
+
+def _sized(d: DataFrame) -> DataFrame:
+    d = d.select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
     return d.withColumn("size", F.least(F.greatest(25 + 5 * F.col("degree"), F.lit(25)), F.lit(75)))
 
 
+def tag_degrees(nodes: DataFrame, tags: tuple[str, ...] = DOMAIN_TAGS) -> DataFrame:
+    """``degrees`` of ``tag_edges``, without the edges; one row an id.
+
+    Nodes of one set of tags meet the same nodes: all whose set has a tag in common with theirs, less those of their own
+    folder. Both come from the counts of sets and folders.
+    """
+    n = nodes.select("id", "domain", F.array_sort(F.array_distinct(F.filter("tags", lambda t: t.isin(*tags)))).alias("set"))
+    counts = n.where("id IS NOT NULL AND domain IS NOT NULL AND size(set) > 0").groupBy("domain", "set").agg(F.count(F.lit(1)).alias("n"))
+
+    def met(sets: DataFrame, *keys: str) -> DataFrame:
+        """For each set, ``n`` of the sets that have a tag in common with it: two sets meet at the least such tag."""
+        each = sets.select("*", F.explode("set").alias("tag"))
+        a, b = each.alias("a"), each.alias("b")
+        least = F.array_min(F.array_intersect("a.set", "b.set")) == F.col("a.tag")
+        pairs = a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "tag")], least])
+        return pairs.groupBy(*[F.col(f"a.{k}").alias(k) for k in (*keys, "set")]).agg(F.sum("b.n").alias("n"))
+
+    everywhere = met(counts.groupBy("set").agg(F.sum("n").alias("n"))).withColumnRenamed("n", "everywhere")
+    degree = met(counts, "domain").join(everywhere, "set").select("domain", "set", (F.col("everywhere") - F.col("n")).alias("degree"))
+    return _sized(n.join(degree, ["domain", "set"], "left").withColumn("degree", F.when(F.col("id").isNotNull(), F.col("degree"))))
+
+
 def neighbourhood(edges: DataFrame, seed: DataFrame, hops: int) -> DataFrame:
     """``id`` of the seed and of all nodes at most ``hops`` edges away, edges taken in both directions."""
     both, reached = symmetric(edges), seed.select("id").distinct()

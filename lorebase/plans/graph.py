@@ -24,8 +24,7 @@ def tag_shared_edges(spark, folder):
 
 @query(f"WITH {NODE}, {TAG_EDGES}, e AS (SELECT src AS id FROM tag_edge UNION ALL SELECT dst FROM tag_edge), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id) SELECT node.id, coalesce(degree, 0) AS degree, least(greatest(25 + 5 * coalesce(degree, 0), 25), 75) AS size FROM node LEFT JOIN d ON d.id = node.id")
 def node_degree(spark, folder):
-    n = nodes(spark, folder)
-    return G.degrees(G.tag_edges(n), n)
+    return G.tag_degrees(nodes(spark, folder))
 
 
 # links of other shapes (aliases, parts) than the pages have, made from lineitem; page_links and page_dead_links read the pages

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from lorebase.plans.catalogue import ORACLES, QUERIES
@@ -47,3 +48,45 @@ def test_merge_and_focus_leave_no_key_out(spark, folder):
     least = orders.agg({"o_custkey": "min"}).first()[0]
     got = {r["id"] for r in QUERIES["order_focus"](spark, folder).collect()}
     assert {f"o{r['o_orderkey']}" for r in orders.where(f"o_custkey = {least}").collect()} == {i for i in got if i[0] == "o"} and any(i[0] == "s" for i in got)
+
+
+@pytest.fixture
+def hot_nodes(spark, tmp_path):
+    """Nodes of which most have one tag, with repeated rows and missing folders: 26,000 pairs and more."""
+    tags = lambda i: ["rag"] * (i % 9 > 0) + ["mcp", "eval"] * (i % 7 == 0) + ["bm25"] * (i % 50 == 0) + [None, "other"] * (i % 3 == 0)
+    folder = lambda i: None if i % 41 == 0 else ["rag"] if i % 4 else ["mcp" if i % 8 else f"f{i % 10}"]
+    rows = [(f"n{i:03}", (tags(i) or None, folder(i))) for i in [*range(400), 3, 49, 350]]
+    spark.createDataFrame(rows, "id string, data struct<tags: array<string>, domain: array<string>>").write.parquet(f"{tmp_path}/nodes.parquet")
+    return str(tmp_path)
+
+
+def shuffled(spark, df):
+    """(rows of ``df``, records that all its stages wrote to shuffles)."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    return df().toPandas(), written() - before
+
+
+def hot_equals_sql(spark, folder, name):
+    (con := duckdb.connect()).execute(f"CREATE VIEW nodes AS SELECT * FROM '{folder}/nodes.parquet/*.parquet'")
+    want = rows(con.execute(ORACLES[name]).fetchdf())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        got, records = shuffled(spark, lambda: QUERIES[name](spark, folder))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert rows(got) == want
+    return len(want), records
+
+
+def test_degrees_are_counted_without_pairs(spark, hot_nodes):
+    nodes, records = hot_equals_sql(spark, hot_nodes, "node_degree")
+    assert nodes == 400 and records < 4000
