@@ -5,7 +5,7 @@ Edges are ``src, dst, edge_type, score, shared_tags``; undirected families are w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,10 @@ def named_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, keys.join(names, "name").select("src", "target", "dst").distinct()
 
 
+#: A block has so many nodes of a tag at most, or their share of one in so many; folders with one in FOLDERS of a tag's nodes have blocks of their own.
+BLOCK, BLOCKS, FOLDERS = 4096, 32, 64
+
+
 def tag_edges(nodes: DataFrame, tags: tuple[str, ...] = DOMAIN_TAGS) -> DataFrame:
     """Pairs of nodes ``id, domain, tags`` of different folders with common domain tags: an equi join on the tag.
 
@@ -56,6 +60,66 @@ def tag_edges(nodes: DataFrame, tags: tuple[str, ...] = DOMAIN_TAGS) -> DataFram
     return pairs.groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).agg(F.array_sort(F.collect_set("a.tag")).alias("shared_tags"))
 
 
+def tag_edge_visibility(nodes: DataFrame, chosen: Column, tags: tuple[str, ...] = DOMAIN_TAGS) -> DataFrame:
+    """``edge_visibility`` of ``tag_edges`` for the nodes that are ``chosen``: they are marked before they are paired, so no pair is looked up."""
+    pairs, _ = _tag_pairs(nodes.select("id", "domain", "tags", F.coalesce(chosen, F.lit(False)).alias("chosen")), tags, "chosen")
+    return pairs.select(*_ends(), (~(F.col("a.chosen") | F.col("b.chosen"))).alias("hidden"))
+
+
+def _ends() -> tuple[Column, Column]:
+    return F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")
+
+
+def _tag_pairs(nodes: DataFrame, tags: tuple[str, ...], *marks: str) -> tuple[DataFrame, Column]:
+    """(the pairs of ``tag_edges`` as ``a`` and ``b``, each with the columns ``marks``, the tags they share).
+
+    The nodes of a tag are cut into blocks, and a join brings each two blocks together. Folders with many of them
+    have blocks of their own, which need not meet each other; all other nodes of the tag share the first blocks.
+    """
+    common = F.explode(F.array_distinct(F.filter("tags", lambda t: t.isin(*tags)))).alias("tag")
+    rows = nodes.where("id IS NOT NULL AND domain IS NOT NULL").select("id", "domain", *marks, common)
+    # a tag that an id has in several folders has no folder: it meets those of all folders
+    rows = rows.groupBy("id", "tag").agg(F.min("domain").alias("domain"), F.max("domain").alias("last"), *[F.max(m).alias(m) for m in marks])
+    each = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("tag", F.when(F.col("domain") == F.col("last"), F.col("domain")).alias("domain")))).alias("tags"), *[F.max(m).alias(m) for m in marks])
+    each = each.select("*", F.explode("tags").alias("at")).select("id", "tags", *marks, "at.tag", "at.domain")
+
+    counts = each.groupBy("tag", "domain").agg(F.count(F.lit(1)).alias("n"))
+    block = F.greatest(F.lit(BLOCK), F.ceil(F.col("total") / BLOCKS))
+    sized = counts.join(F.broadcast(counts.groupBy("tag").agg(F.sum("n").alias("total"))), "tag").withColumn("block", block)
+    large = F.when(F.col("domain").isNotNull() & (F.col("n") * FOLDERS > F.greatest("total", F.lit(BLOCK))), F.struct("domain", "n"))
+    pools, folders, cells = [], [], 0
+    for r in sized.groupBy("tag").agg(F.max("total").alias("total"), F.max("block").alias("block"), F.collect_list(large).alias("large")).collect():
+        first = pool = max(1, -(-(r["total"] - sum(x["n"] for x in r["large"])) // r["block"]))
+        for x in r["large"]:
+            folders.append((r["tag"], x["domain"], first, own := -(-x["n"] // r["block"])))
+            first, cells = first + own, cells - own * (own + 1) // 2
+        pools.append((r["tag"], pool, first))
+        cells += first * (first + 1) // 2
+
+    spark = nodes.sparkSession
+    pools = F.broadcast(spark.createDataFrame(pools, "tag string, pool int, blocks int"))
+    folders = F.broadcast(spark.createDataFrame(folders, "tag string, domain string, first int, own int"))
+    number = F.coalesce("first", F.lit(0)) + F.pmod(F.xxhash64("id"), F.coalesce("own", "pool")).cast("int")
+    placed = each.join(pools, "tag").join(folders, ["tag", "domain"], "left").withColumn("block", number)
+    apart = lambda o: F.col("first").isNull() | (o < F.col("first")) | (o >= F.col("first") + F.col("own"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), apart)
+    kept = "id", "tag", "domain", "tags", *marks
+    x = placed.select(*kept, F.col("block").alias("p"), F.explode(F.filter(others, lambda o: o >= F.col("block"))).alias("q"))
+    y = placed.select(*kept, F.explode(F.filter(others, lambda o: o <= F.col("block"))).alias("p"), F.col("block").alias("q"))
+    # a number, as else few and small partitions would be joined into one, which would make all pairs
+    width = max(1, min(cells, 8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    a, b = (d.repartition(width, "tag", "p", "q").alias(n) for d, n in ((x, "a"), (y, "b")))
+
+    both = F.filter("a.tags", lambda s: F.exists("b.tags", lambda t: (s["tag"] == t["tag"]) & F.coalesce(s["domain"] != t["domain"], F.lit(True))))
+    single = (F.size("a.tags") == 1) | (F.size("b.tags") == 1)
+    shared = F.when(single, F.array("a.tag")).otherwise(F.transform(both, lambda s: s["tag"]))
+    meet = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("tag", "p", "q")]
+    once = (F.col("a.p") != F.col("a.q")) | (F.col("a.id") < F.col("b.id"))
+    least = F.when(single, F.lit(True)).otherwise(F.get(both, 0)["tag"] == F.col("a.tag"))
+    differ = F.coalesce(F.col("a.domain") != F.col("b.domain"), F.lit(True))
+    return a.join(b, [*meet, once, differ, least]), shared
+
+
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -113,8 +113,12 @@ _SYM = "sym AS (SELECT src, dst FROM tag_edge UNION SELECT dst, src FROM tag_edg
 _ONE = "one AS (SELECT id FROM seed UNION SELECT dst FROM sym WHERE src IN (SELECT id FROM seed))"
 
 
+def _seeded():
+    return F.array_contains("tags", "bm25")
+
+
 def _seed(n):
-    return n.where(F.array_contains("tags", "bm25")).select("id")
+    return n.where(_seeded()).select("id")
 
 
 @query(f"WITH {NODE}, {TAG_EDGES}, {_SEED}, {_SYM}, {_ONE} SELECT id FROM one")
@@ -150,8 +154,7 @@ def induced_subgraph(spark, folder):
 
 @query(f"WITH {NODE}, {TAG_EDGES}, {_SEED} SELECT src, dst, src NOT IN (SELECT id FROM seed) AND dst NOT IN (SELECT id FROM seed) AS hidden FROM tag_edge")
 def edge_visibility(spark, folder):
-    n = nodes(spark, folder)
-    return G.edge_visibility(G.tag_edges(n).select("src", "dst"), _seed(n))
+    return G.tag_edge_visibility(nodes(spark, folder), _seeded())
 
 
 @query(f"WITH {CURRENT} SELECT regexp_extract(path, '([^/]*)\\.md$', 1) AS id, path, split_part(path, '/', -2) AS domain, len({TAGS}) AS n_tags, count(*) OVER (PARTITION BY regexp_extract(path, '([^/]*)\\.md$', 1)) AS paths_of_id FROM page")

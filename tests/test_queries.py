@@ -90,3 +90,9 @@ def hot_equals_sql(spark, folder, name):
 def test_degrees_are_counted_without_pairs(spark, hot_nodes):
     nodes, records = hot_equals_sql(spark, hot_nodes, "node_degree")
     assert nodes == 400 and records < 4000
+
+
+def test_visibility_shuffles_no_pairs(spark, hot_nodes, monkeypatch):
+    monkeypatch.setattr("lorebase.operators.graph.BLOCK", 60)
+    pairs, records = hot_equals_sql(spark, hot_nodes, "edge_visibility")
+    assert pairs > 20_000 and records < 10_000
