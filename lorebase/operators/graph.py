@@ -50,14 +50,13 @@ BLOCK, BLOCKS, FOLDERS = 4096, 32, 64
 
 
 def tag_edges(nodes: DataFrame, tags: tuple[str, ...] = DOMAIN_TAGS) -> DataFrame:
-    """Pairs of nodes ``id, domain, tags`` of different folders with common domain tags: an equi join on the tag.
+    """Pairs of nodes ``id, domain, tags`` of different folders with common domain tags; an id may have several rows.
 
-    The result is every such pair, so it grows with the square of a tag's pages; a join on the tag spreads the pairs.
+    The result is every such pair, so it grows with the square of a tag's pages. A pair is made once, at the least tag it
+    shares, so only nodes are shuffled and never pairs.
     """
-    each = nodes.select("id", "domain", F.explode(F.array_distinct(F.filter("tags", lambda t: t.isin(*tags)))).alias("tag"))
-    a, b = each.alias("a"), each.alias("b")
-    pairs = a.join(b, (F.col("a.tag") == F.col("b.tag")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.domain") != F.col("b.domain")))
-    return pairs.groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).agg(F.array_sort(F.collect_set("a.tag")).alias("shared_tags"))
+    pairs, shared = _tag_pairs(nodes.select("id", "domain", "tags"), tags)
+    return pairs.select(*_ends(), shared.alias("shared_tags"))
 
 
 def tag_edge_visibility(nodes: DataFrame, chosen: Column, tags: tuple[str, ...] = DOMAIN_TAGS) -> DataFrame:

@@ -96,3 +96,23 @@ def test_visibility_shuffles_no_pairs(spark, hot_nodes, monkeypatch):
     monkeypatch.setattr("lorebase.operators.graph.BLOCK", 60)
     pairs, records = hot_equals_sql(spark, hot_nodes, "edge_visibility")
     assert pairs > 20_000 and records < 10_000
+
+
+def test_shared_tags_shuffle_no_pairs(spark, hot_nodes, monkeypatch):
+    monkeypatch.setattr("lorebase.operators.graph.BLOCK", 60)
+    pairs, records = hot_equals_sql(spark, hot_nodes, "tag_shared_edges")
+    assert pairs > 20_000 and records < 10_000
+
+
+def test_tag_edges_of_ids_in_several_folders(spark, monkeypatch):
+    from lorebase.operators import graph as G
+
+    monkeypatch.setattr(G, "BLOCK", 5)
+    rows = [(f"n{i % 23}", ["a", "b", "c"][i * i % 3 if i % 5 else 2], [t for k, t in enumerate(("rag", "mcp", "eval")) if i * 7 % (k + 3) == 0]) for i in range(60)]
+    want = {}
+    for x, d, s in rows:
+        for y, e, t in rows:
+            if x < y and d != e and set(s) & set(t):
+                want.setdefault((x, y), set()).update(set(s) & set(t))
+    got = G.tag_edges(spark.createDataFrame(rows, "id string, domain string, tags array<string>")).collect()
+    assert sorted((r["src"], r["dst"], r["shared_tags"]) for r in got) == sorted((x, y, sorted(s)) for (x, y), s in want.items())
